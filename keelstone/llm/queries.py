@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import WHITE_SPACE
 from ..session import table
-from . import formatting, survivors
+from . import formatting, quality, survivors
 
 _WS = "||".join(f"chr({ord(c)})" for c in WHITE_SPACE)
 
@@ -28,7 +28,21 @@ def p6_sets(spark: SparkSession, d: str) -> DataFrame:
     return formatting.sets(formatting.encoded(table(spark, d, "ciphers"), table(spark, d, "apple_rows"))).select("src_table", "first_key", "n_copies")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_survivors, p6_found, p6_sets)}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return quality.not_prose(quality.text_quality(table(spark, d, "documents"), table(spark, d, "common_words"), counts=False))
+
+
+def p10_stats(spark: SparkSession, d: str) -> DataFrame:
+    s = quality.shares(quality.text_quality(table(spark, d, "documents"), table(spark, d, "common_words")))
+    return s.select("doc_id", "n_words", *[F.round(c, 6).alias(c) for c in s.columns[2:]])
+
+
+def p10_classes(spark: SparkSession, d: str) -> DataFrame:
+    q = quality.text_quality(table(spark, d, "documents"), table(spark, d, "common_words"))
+    return q.groupBy("doc_class", "nearest_profile").agg(F.count("*").alias("n_docs"), F.sum("n_words").alias("n_words"), F.round(F.avg("divergence"), 4).alias("mean_divergence"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_survivors, p6_found, p6_sets, p10_found, p10_stats, p10_classes)}
 
 _P1 = f"""member as (select *, regexp_replace(lower(rtrim(regexp_replace(trim(coalesce(name, ''), {_WS}), '(?s)\\([^(]*@[^(]*\\)\\z', ''), {_WS})), 'x^', '') nm, trim(coalesce(login.username, ''), {_WS}) us, login.password pw, coalesce(organization_id, '') org,
  list_sort(list_distinct(list_transform(coalesce(login.fido2_credentials, []), lambda x: coalesce(x.credential_id, '')))) cred, greatest(coalesce(len(password_history), 0), 0) h, coalesce(revision_date, '') rev, coalesce(creation_date, '') cre
@@ -43,7 +57,12 @@ a as (select 'apple_rows' src_table, row_id as key, [{_W('title')}, {_W('usernam
  || list_sort(list_filter(list_transform(string_split(array_to_string(parts[2:], '?'), '&'), lambda x: regexp_replace(lower(x), '[^\\p{{L}}\\p{{N}}]', '', 'g')), lambda x: x <> '')) t from u where {_W('title')} || {_W('url')} || {_W('username')} <> ''),
 s as (select src_table, key, min(key) over (partition by src_table, t) first_key, count(*) over (partition by src_table, t) n_copies from (select * from c union all select * from a))"""
 
+_P10 = f"""t as (select doc_id, coalesce(text, '') x, regexp_extract_all(coalesce(text, ''), '[\\p{{L}}\\p{{N}}]+') w, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda l: rtrim(l, {_WS}||chr(28)||chr(29)||chr(30)||chr(31))), lambda l: l <> '') lines from documents),
+c as (select doc_id, count(*) n_common from (select doc_id, lower(unnest(w)) v from t) where v in (select lower(word) from common_words) group by doc_id),
+s as (select doc_id, len(w) n_words, coalesce(length(array_to_string(w, '')), 0) wc, length(x) n, length(regexp_replace(x, '[\\p{{L}}\\p{{N}}' || {_WS} || ']', '', 'g')) sym, len(lines) nl, len(list_filter(lines, lambda l: right(l, 1) in ('.', '!', '?', '…', ':', ';', '"', '''', '”', '»', ')'))) ne, coalesce(n_common, 0) nc from t left join c using (doc_id))"""
+
 SQL = {
+    "p10_stats": f"with {_P10} select doc_id, cast(n_words as bigint) n_words, " + ", ".join(f"round(case when {b} > 0 then {a} / {b} else 0 end, 6) {name}" for name, a, b in (("mean_word_len", "wc", "n_words"), ("symbol_share", "sym", "n"), ("ended_line_share", "ne", "nl"), ("common_word_share", "nc", "n_words"))) + " from s",
     "p1_found": f"with {_P1} select ranked.pos member_pos, kept_pos, name_pos, notes_pos from ranked join best using (g)",
     "p6_found": f"with {_P6} select src_table, first_key, key copy_key from s where key <> first_key",
     "p6_sets": f"with {_P6} select src_table, first_key, n_copies from s where key = first_key",
