@@ -47,7 +47,7 @@ _TAG = re.compile(r"<[^<>\n]{1,200}>")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _LAYOUT = re.compile(
     r"""(?P<blank>\s*\Z)
-      |(?P<marked>\s*(?:[-*+•‣◦▪●–—]\ |\[[ xX]\]\s|\(?\d{1,3}[.)]\s|\(?[A-Za-z][.)]\s)|\#\#\ \d[\d.]*\s*\Z|.*\(\#\d+\)\s*\Z)
+      |(?P<marked>\s*(?:[-*+•‣◦▪●–—]\ (?!\ )|\[[ xX]\]\s|\(?\d{1,3}[.)]\s|\(?[A-Za-z][.)]\s)|\#\#\ \d[\d.]*\s*\Z|.*\(\#\d+\)\s*\Z)
       |(?P<pair>\s*(?:https?://\S+\s*\Z|(?:GET|POST|PUT|PATCH|DELETE|HEAD|OPTIONS)\ \S+\s*\Z|HTTP(?:/[\d.]+)?\ (?:\d{3}|\*)\s*\Z|\[\w+\]\s*\Z|(?:jsonpath|xpath|header|status|body|cookie|duration)\b.{0,80}\Z|[\w$.-]{1,40}\s?[:=]\s?[^.!?]{1,80}\Z))
       |(?P<cells>\s*\|.*\|\s*\Z|[\s=+|-]*[-=]{3}[\s=+|-]*\Z)""",
     re.X,
@@ -129,9 +129,14 @@ def _cells(lines: list[str]) -> bool:
 
 
 def _fragments(lines: list[str]) -> bool:
-    """Whether loose lines are one-line fragments: short, not wrapped, rarely a sentence."""
+    """Whether loose lines are one-line fragments: short, mostly letters, not wrapped at one width."""
     if len(lines) < 3 or sum(map(len, lines)) > 60 * len(lines):
         return False
+    if sum(x[-1:].isspace() or "\t" in x or "  " in x.lstrip() for x in lines) * 4 > len(lines):  # broken spacing, not items
+        return False
+    joined = "".join(lines)
+    if sum(map(str.isalpha, joined)) * 2 < len(joined) - joined.count(" "):
+        return False
     return not _wraps([x.rstrip() for x in lines])
 
 
