@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import WHITE_SPACE
 from ..session import table
-from . import formatting, leakage, quality, survivors
+from . import formatting, leakage, personal, quality, survivors
 
 _WS = "||".join(f"chr({ord(c)})" for c in WHITE_SPACE)
 
@@ -20,6 +20,25 @@ def p1_survivors(spark: SparkSession, d: str) -> DataFrame:
     return survivors.survivors(table(spark, d, "ciphers"))
 
 
+def _notes(spark: SparkSession, d: str) -> list[tuple[DataFrame, str, str]]:
+    return [(table(spark, d, "ciphers"), "pos", "ciphers"), (table(spark, d, "apple_rows"), "row_id", "apple_rows")]
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    a, b = (personal.kinds_found(t, key, "notes", name) for t, key, name in _notes(spark, d))
+    return a.unionByName(b)
+
+
+def p5_redacted(spark: SparkSession, d: str) -> DataFrame:
+    a, b = (personal.redact(t, key, "notes").select(F.lit(name).alias("src_table"), F.col(key).alias("row_key"), "n_mentions", "placeholders", "surrogates") for t, key, name in _notes(spark, d))
+    return a.unionByName(b)
+
+
+def p5_collisions(spark: SparkSession, d: str) -> DataFrame:
+    a, b = (personal.mentions(t, key, "notes") for t, key, _ in _notes(spark, d))
+    return personal.collisions(a.unionByName(b))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return formatting.copies(formatting.encoded(table(spark, d, "ciphers"), table(spark, d, "apple_rows")))
 
@@ -52,7 +71,7 @@ def p9_items(spark: SparkSession, d: str) -> DataFrame:
     return hits.groupBy("item_id").agg(F.count("*").alias("n_docs_touched"), F.count_if(leaked).alias("n_docs_leaked"), F.max("n_covered").alias("most_covered"), F.max("longest_run").alias("longest_run"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_survivors, p6_found, p6_sets, p9_found, p9_items, p10_found, p10_stats, p10_classes)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_survivors, p5_found, p5_redacted, p5_collisions, p6_found, p6_sets, p9_found, p9_items, p10_found, p10_stats, p10_classes)}
 
 _P1 = f"""member as (select *, regexp_replace(lower(rtrim(regexp_replace(trim(coalesce(name, ''), {_WS}), '(?s)\\([^(]*@[^(]*\\)\\z', ''), {_WS})), 'x^', '') nm, trim(coalesce(login.username, ''), {_WS}) us, login.password pw, coalesce(organization_id, '') org,
  list_sort(list_distinct(list_transform(coalesce(login.fido2_credentials, []), lambda x: coalesce(x.credential_id, '')))) cred, greatest(coalesce(len(password_history), 0), 0) h, coalesce(revision_date, '') rev, coalesce(creation_date, '') cre
