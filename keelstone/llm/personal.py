@@ -61,12 +61,15 @@ _PHONE = re.compile(
     | (?:\+1[\ .-]?|001[\ .-]?)?\d{3}(?P<sep>[-.])\d{3}(?P=sep)\d{4}
     | (?:\+1[\ .-]?|001[\ .-]?|(?<!\d[\ /]))\d{3}[-.\ ]\d{3}[-.\ ]\d{4}
     | \+[1-9]\d{8,13}
-    | (?:\+|00)(?:44|33|49|34|351|39|43|41|31|32|353)[\ .-]?(?:\(0\)[\ ]?)?\d{1,4}(?:[\ ./-]?\d{2,6}){2,5}
+    | (?:\+|00)44[\ .-]?(?:\(0\)\ ?)?\d{2,5}[\ .-]?\d{3,6}(?:[\ .-]\d{3,4})?
+    | (?:\+|00)33[\ .-]?(?:\(0\)\ ?)?[1-9](?:[\ .-]?\d{2}){4}
+    | (?:\+|00)(?:34|351)[\ .-]?\d{3}[\ .-]?\d{3}[\ .-]?\d{3}
+    | (?:\+|00)(?:49|39|43|41|31|32|353)[\ .-]?(?:\(0\)\ ?)?\d{1,4}[\ /-]?\d{3,8}(?:[-\ ]\d{2,4})?
     | 0[1-9](?:[\ .]\d{2}){4}
     | 07\d{3}[\ ]?\d{3}[\ ]?\d{3}
     | 0\d{2,4}[/-]\d{3,8}(?:[-\ ]\d{1,5})?
     | (?<!\d[\ /])[679]\d{2}\ \d{3}\ \d{3}
-    )(?![\w-]|[./]\d|\ \d{2,})""",
+    )(?![\w-]|[./]\d)""",
     re.X,
 )
 _TOWN = r"[^\W\d_]+(?:[-'][^\W\d_]+)*"
