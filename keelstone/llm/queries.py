@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import WHITE_SPACE
 from ..session import table
-from . import formatting, leakage, personal, quality, survivors
+from . import formatting, leakage, packing, personal, quality, survivors
 
 _WS = "||".join(f"chr({ord(c)})" for c in WHITE_SPACE)
 
@@ -61,6 +61,14 @@ def p10_classes(spark: SparkSession, d: str) -> DataFrame:
     return q.groupBy("doc_class", "nearest_profile").agg(F.count("*").alias("n_docs"), F.sum("n_words").alias("n_words"), F.round(F.avg("divergence"), 4).alias("mean_divergence"))
 
 
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.assign(table(spark, d, "documents"))
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_report(packing.assign(table(spark, d, "documents")))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked(leakage.item_hits(table(spark, d, "documents"), table(spark, d, "eval_items")))
 
@@ -71,7 +79,7 @@ def p9_items(spark: SparkSession, d: str) -> DataFrame:
     return hits.groupBy("item_id").agg(F.count("*").alias("n_docs_touched"), F.count_if(leaked).alias("n_docs_leaked"), F.max("n_covered").alias("most_covered"), F.max("longest_run").alias("longest_run"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_survivors, p5_found, p5_redacted, p5_collisions, p6_found, p6_sets, p9_found, p9_items, p10_found, p10_stats, p10_classes)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_survivors, p5_found, p5_redacted, p5_collisions, p6_found, p6_sets, p8_containers, p8_fill, p9_found, p9_items, p10_found, p10_stats, p10_classes)}
 
 _P1 = f"""member as (select *, regexp_replace(lower(rtrim(regexp_replace(trim(coalesce(name, ''), {_WS}), '(?s)\\([^(]*@[^(]*\\)\\z', ''), {_WS})), 'x^', '') nm, trim(coalesce(login.username, ''), {_WS}) us, login.password pw, coalesce(organization_id, '') org,
  list_sort(list_distinct(list_transform(coalesce(login.fido2_credentials, []), lambda x: coalesce(x.credential_id, '')))) cred, greatest(coalesce(len(password_history), 0), 0) h, coalesce(revision_date, '') rev, coalesce(creation_date, '') cre
