@@ -75,7 +75,7 @@ def first_line_value(c: Column, key: str) -> Column:
 
 def without_first_line(c: Column, key: str) -> Column:
     """The text without its first "key: value" line, trimmed."""
-    return utrim(F.regexp_replace(c, rf"(?ms)\A(.*?)^{key}:[^\S\n]*[^\n]+$", "$1"))
+    return utrim(F.regexp_replace(c, rf"(?ms)\A(.*?)^{key}:\s*[^\n]+$", "$1"))
 
 
 def front_matter_body(c: Column) -> Column:

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions.media import voice_pool
 from ..functions.text import escape_xml
+from .ordered import lag_by_block, running_sum_by_block
 
 
 def best_overlap(segments: DataFrame, speakers: DataFrame, entity: str, width: float = 30.0) -> DataFrame:
     """(entity, seq, speaker) of each segment: the speaker interval with the largest overlap, the
-    earliest (by speaker_seq) of equal ones, null if none overlaps.
+    earliest (by speaker_seq, of any ordered type) of equal ones, null if none overlaps.
 
     Both sides are cut into buckets of width seconds, which makes the range condition an equi join on
     (entity, bucket); candidates are combined before they are brought together by (entity, seq), and
@@ -22,7 +23,7 @@ def best_overlap(segments: DataFrame, speakers: DataFrame, entity: str, width: f
     left = segments.where("seg_end >= seg_start").select(entity, "seq", F.col("seg_start").alias("a"), F.col("seg_end").alias("b"), bucket("seg_start", "seg_end").alias("bucket"))
     right = speakers.where("seg_end >= seg_start").select(entity, "speaker", "speaker_seq", F.col("seg_start").alias("c"), F.col("seg_end").alias("d"), bucket("seg_start", "seg_end").alias("bucket"))
     overlap = F.least("b", "d") - F.greatest("a", "c")
-    best = left.join(right, [entity, "bucket"]).where(overlap > 0).groupBy(entity, "seq").agg(F.max_by("speaker", F.struct(overlap, -F.col("speaker_seq"))).alias("speaker"))
+    best = left.join(right, [entity, "bucket"]).where(overlap > 0).groupBy(entity, "seq").agg(F.min_by("speaker", F.struct(-overlap, "speaker_seq")).alias("speaker"))
     return segments.join(best, [entity, "seq"], "left")
 
 
@@ -30,11 +31,11 @@ def pause_ms(gap: Column) -> Column:
     return F.least((gap * 1000).cast("bigint"), F.lit(5000))
 
 
-def with_pauses(segments: DataFrame, entity: str, order: str = "seq") -> DataFrame:
+def with_pauses(segments: DataFrame, entity: str, order: list[str], width: float = 100_000) -> DataFrame:
     """break_ms where more than half a second passes between the end of one segment and the next."""
-    before = F.lag("seg_end").over(Window.partitionBy(entity).orderBy(order))
-    gap = F.col("seg_start") - before
-    return segments.withColumn("break_ms", F.when((before > 0) & (gap > 0.5), pause_ms(gap)))
+    before, gap = F.col("end_before_"), F.col("seg_start") - F.col("end_before_")
+    rows = lag_by_block(segments, entity, order, "seg_end", "end_before_", width)
+    return rows.withColumn("break_ms", F.when((before > 0) & (gap > 0.5), pause_ms(gap))).drop("end_before_")
 
 
 def speaker_labels(speakers: DataFrame, entity: str) -> DataFrame:
@@ -44,12 +45,12 @@ def speaker_labels(speakers: DataFrame, entity: str) -> DataFrame:
     return ids.withColumn("speaker_no", r).withColumn("label", F.concat(F.lit("Speaker "), F.when(F.col("speaker_no") <= 26, F.char(F.col("speaker_no") + 64)).otherwise(F.col("speaker_no").cast("string"))))
 
 
-def change_points(segments: DataFrame, entity: str, order: str = "seq", speaker: str = "speaker") -> DataFrame:
+def change_points(segments: DataFrame, entity: str, order: list[str], speaker: str = "speaker", width: float = 100_000) -> DataFrame:
     """opens: whether a new voice begins at the segment; island: its running number from 1, 0 before the first.
     Leading segments without a speaker open nothing."""
-    w = Window.partitionBy(entity).orderBy(order)
-    opens = ~F.col(speaker).eqNullSafe(F.lag(speaker).over(w))
-    return segments.withColumn("opens", opens).withColumn("island", F.sum(F.col("opens").cast("bigint")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = lag_by_block(segments, entity, order, speaker, "speaker_before_", width)
+    rows = rows.withColumn("opens", ~F.col(speaker).eqNullSafe(F.col("speaker_before_"))).drop("speaker_before_")
+    return running_sum_by_block(rows, entity, order, F.col("opens").cast("bigint"), "island", width)
 
 
 def speech_markup(segments: DataFrame, speakers: DataFrame, entity: str, lang: Column, title: Column) -> DataFrame:
@@ -58,7 +59,7 @@ def speech_markup(segments: DataFrame, speakers: DataFrame, entity: str, lang: C
     order of the labels."""
     labels = speaker_labels(speakers, entity)
     attributed = best_overlap(segments.where(F.trim("text") != ""), speakers, entity).join(labels, [entity, "speaker"], "left")
-    s = change_points(with_pauses(attributed, entity), entity, speaker="label")
+    s = change_points(with_pauses(attributed, entity, ["seq"]), entity, ["seq"], speaker="label")
     known = labels.groupBy(entity).agg(F.transform(F.sort_array(F.collect_list(F.struct("speaker_no", "label"))), lambda x: x.label).alias("labels"))
     s = s.join(known, entity, "left")
     pool = voice_pool(lang)
