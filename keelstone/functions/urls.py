@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,25 +15,31 @@ _WEB = r"(?is)\A(https?|wss?):[/\\]*([^/\\?#]*)"
 _ANDROID = "androidapp://"
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once, however often use names it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _host(a: Column) -> Column:
+    """Kind and token from struct(u, scheme, host, port)."""
+    default = F.when(a.scheme.isin("https", "wss"), WEB_SCHEMES["https"]).otherwise(WEB_SCHEMES["http"])
+    token = F.when((a.port == "") | (a.port == default), a.host).otherwise(F.concat(a.host, F.lit(":"), a.port))
+    address = a.host.rlike(r"\A(?:\d{1,3}(?:\.\d{1,3}){3}|\[[0-9a-f:.]+\])\z")
+    named = (a.host != "") & ~a.host.rlike(r"[\s<>^|%:\\\[\]]")
+    web = F.when(a.scheme == "", None).when(address, "ip").when(named, "dns")
+    package = F.regexp_extract(a.u, r"(?s)\A.{13}([^/?#]*)", 1)
+    android = F.startswith(a.u, F.lit(_ANDROID))
+    kind = lambda k, t: F.struct(k.alias("kind"), t.alias("token"))
+    return F.when((a.u == "") | (android & (package == "")), None).when(android, kind(F.lit("android"), package)).when(web.isNotNull(), kind(web, token)).when(a.u.isNotNull(), kind(F.lit("opaque"), a.u))
+
+
 def host_of(uri: Column) -> Column:
     """struct(kind, token), null for a blank URI. kind: android (package, case kept), dns (lower case) or
     ip for http, https, ws, wss, with a port that is not the default; otherwise opaque, the trimmed
     text as it is. Hosts outside ASCII are lower-cased, not converted to punycode."""
-    u = utrim(uri)
-    scheme, authority = F.lower(F.regexp_extract(u, _WEB, 1)), F.regexp_extract(u, _WEB, 2)
-    where = F.regexp_replace(authority, r"(?s)\A.*@", "")
-    port = F.regexp_replace(F.regexp_extract(where, r":(\d*)\z", 1), r"\A0+(?=\d)", "")
-    host = F.lower(F.regexp_replace(where, r":\d*\z", ""))
-    default = F.lit("")
-    for s, p in WEB_SCHEMES.items():
-        default = F.when(scheme == s, p).otherwise(default)
-    token = F.when((port == "") | (port == default), host).otherwise(F.concat(host, F.lit(":"), port))
-    address = host.rlike(r"\A(?:\d{1,3}(?:\.\d{1,3}){3}|\[[0-9a-f:.]+\])\z")
-    named = (scheme != "") & (host != "") & ~host.rlike(r"[\s<>^|%:\\\[\]]")
-    package = F.regexp_extract(F.substring(u, F.lit(len(_ANDROID) + 1), F.length(u)), r"(?s)\A([^/?#]*)", 1)
-    kind = lambda k, t: F.struct(F.lit(k).alias("kind"), t.alias("token"))
-    android = F.startswith(u, F.lit(_ANDROID))
-    return F.when(u == "", None).when(android & (package == ""), None).when(android, kind("android", package)).when((scheme != "") & address, kind("ip", token)).when(named, kind("dns", token)).when(u.isNotNull(), kind("opaque", u))
+    cut = lambda u: F.struct(u.alias("u"), F.lower(F.regexp_extract(u, _WEB, 1)).alias("scheme"), F.regexp_replace(F.regexp_extract(u, _WEB, 2), r"(?s)\A.*@", "").alias("where"))
+    parts = lambda a: F.struct(a.u, a.scheme, F.lower(F.regexp_replace(a["where"], r":\d*\z", "")).alias("host"), F.regexp_replace(F.regexp_extract(a["where"], r":(\d*)\z", 1), r"\A0+(?=\d)", "").alias("port"))
+    return bind(utrim(uri), lambda u: bind(cut(u), lambda a: bind(parts(a), _host)))
 
 
 def host_set(uris: Column) -> Column:

@@ -46,7 +46,7 @@ def floor() -> Column:
 
 
 def _type(n: int) -> Column:
-    return F.coalesce(F.col("cipher_type") == n, F.lit(False)) & floor()
+    return F.coalesce(F.col("cipher_type") == n, F.lit(False)) & F.col("free_")
 
 
 def history_length() -> Column:
@@ -67,12 +67,14 @@ def _org() -> Column:
     return text_or_empty(F.col("organization_id"))
 
 
-def _user() -> Column:
-    return text_or_empty(utrim(F.col("login.username")))
+def _some_signal() -> Column:
+    return (F.col("user_") != "") | (F.size("hosts_") > 0) | has_fido2()
 
 
-def _some_signal() -> Column:
-    return (_user() != "") | (F.size(host_set(F.col("login.uris"))) > 0) | has_fido2()
+def _shared() -> dict[str, Column]:
+    """What several passes look at, computed once; hosts only where a password is missing."""
+    blank = is_blank(F.col("login.password"))
+    return {"free_": floor(), "blank_": blank, "user_": text_or_empty(utrim(F.col("login.username"))), "name_": normalize_name(F.col("name")), "hosts_": F.when(blank, host_set(F.col("login.uris")))}
 
 
 def _zero() -> Column:
@@ -80,12 +82,12 @@ def _zero() -> Column:
 
 
 PASSES = (
-    PassSpec("login", lambda: _type(1) & ~is_blank(F.col("login.password")), lambda c: [normalize_name(F.col("name")), _user(), F.col("login.password"), fido2_signature(), _org(), *([text_or_empty(F.col("login.totp"))] if c.split_divergent_totps else [])], history_length, login=True),
-    PassSpec("empty_password", lambda: _type(1) & is_blank(F.col("login.password")) & _some_signal(), lambda c: [normalize_name(F.col("name")), _user(), host_set(F.col("login.uris")), fido2_signature(), _org(), *([text_or_empty(F.col("login.totp"))] if c.split_divergent_totps else [])], history_length, login=True),
+    PassSpec("login", lambda: _type(1) & ~F.col("blank_"), lambda c: [F.col("name_"), F.col("user_"), F.col("login.password"), fido2_signature(), _org(), *([text_or_empty(F.col("login.totp"))] if c.split_divergent_totps else [])], history_length, login=True),
+    PassSpec("empty_password", lambda: _type(1) & F.col("blank_") & _some_signal(), lambda c: [F.col("name_"), F.col("user_"), F.col("hosts_"), fido2_signature(), _org(), *([text_or_empty(F.col("login.totp"))] if c.split_divergent_totps else [])], history_length, login=True),
     PassSpec("secure_note", lambda: _type(2) & ~is_blank(F.col("name")), lambda _: [normalize_note_name(F.col("name")), _org(), canonical_body(F.col("notes"))], lambda: F.when(F.startswith(text_or_empty(F.col("id")), F.lit(ORIGIN_PREFIX)), 0).otherwise(1).cast("bigint"), notes=False),
     PassSpec("ssh_key", lambda: _type(5) & ~is_blank(F.col("ssh_key.public_key")), lambda _: [F.to_json("ssh_key"), _org()], _zero),
-    PassSpec("card", lambda: _type(3) & F.col("card").isNotNull(), lambda _: [normalize_name(F.col("name")), _org(), F.to_json("card")], _zero),
-    PassSpec("identity", lambda: _type(4) & F.col("ident").isNotNull(), lambda _: [normalize_name(F.col("name")), _org(), F.to_json("ident")], _zero),
+    PassSpec("card", lambda: _type(3) & F.col("card").isNotNull(), lambda _: [F.col("name_"), _org(), F.to_json("card")], _zero),
+    PassSpec("identity", lambda: _type(4) & F.col("ident").isNotNull(), lambda _: [F.col("name_"), _org(), F.to_json("ident")], _zero),
 )
 
 
@@ -97,10 +99,11 @@ def with_groups(items: DataFrame, config: Config = Config(), passes: tuple[PassS
     """
     used = [p for p in passes if not (config.keep_empty_password_stubs and p.kind == "empty_password")]
     first = F.coalesce(*[F.when(p.eligible(), F.lit(p.kind)) for p in used])
-    out = items.withColumn("kind", first)
+    shared = _shared()
+    out = items.withColumns(shared).withColumn("kind", first)
     of = lambda make: F.coalesce(*[F.when(F.col("kind") == p.kind, make(p)) for p in used])
     policy = F.struct(F.coalesce(of(lambda p: p.preferred()), _zero()).alias("preferred"), text_or_empty(F.col("revision_date")).alias("rev"), text_or_empty(F.col("creation_date")).alias("cre"), (-F.col("pos")).alias("neg_pos"))
-    return out.withColumn("grp", of(lambda p: stable_digest(F.lit(p.kind), *p.key(config)))).withColumn("policy", policy)
+    return out.withColumns({"grp": of(lambda p: stable_digest(F.lit(p.kind), *p.key(config))), "policy": policy}).drop(*shared)
 
 
 def groups(grouped: DataFrame) -> DataFrame:

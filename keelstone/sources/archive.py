@@ -75,7 +75,7 @@ def _raw_body(line: str, rest: list[str]) -> tuple[str | None, int]:
     if head[0] in "{[\"" or head in ("true", "false", "null") or re.fullmatch(r"-?\d.*", head):
         while True:
             try:
-                end = json.JSONDecoder().raw_decode(re.sub(r"\{\{[^{}]*\}\}", lambda m: "0" * len(m[0]), text.lstrip()))[1]
+                end = json.JSONDecoder().raw_decode(re.sub(r"\{\{[^{}]*\}\}", lambda m: "1" * len(m[0]), text.lstrip()))[1]
                 return text.lstrip()[:end], n
             except ValueError:
                 if n >= len(rest):

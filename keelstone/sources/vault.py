@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import text_or_empty
+from ..session import cut
 
 # The item schema, in the names of the engine; left the path in an export, right the type.
 ITEM_FIELDS: dict[str, tuple[str, str]] = {
@@ -63,14 +64,15 @@ def item_columns(v: Column) -> list[Column]:
 def read_export(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(items, folders) of an export document. Items keep their position and raw VARIANT, so unknown
     fields are not lost. Fails if the text is no JSON, no object, or has no array of items; missing
-    folders are none."""
+    folders are none. The document is parsed once, into tables in the shared folder."""
     doc = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("doc"))
     kind = F.schema_of_variant("doc")
     items = F.variant_get("doc", "$.items", "variant")
     checked = doc.withColumn("doc", F.when(~F.startswith(kind, F.lit("OBJECT")), F.raise_error(F.lit("the export is not an object"))).when(items.isNull(), F.raise_error(F.lit("the export has no items"))).when(~F.startswith(F.schema_of_variant(items), F.lit("ARRAY")), F.raise_error(F.lit("items is not an array"))).otherwise(F.col("doc")))
     rows = checked.select(F.posexplode(F.variant_get("doc", "$.items", "array<variant>")).alias("pos", "raw"))
     folders = checked.select(F.posexplode(F.try_variant_get("doc", "$.folders", "array<variant>")).alias("pos", "f"))
-    return rows.select(F.col("pos").cast("bigint").alias("pos"), "raw", *item_columns(F.col("raw"))), folders.select(F.col("pos").cast("bigint").alias("pos"), strict(F.col("f"), "id", "string").alias("id"), strict(F.col("f"), "name", "string").alias("name"))
+    pos = F.col("pos").cast("bigint").alias("pos")
+    return cut(rows.select(pos, "raw", *item_columns(F.col("raw")))), cut(folders.select(pos, strict(F.col("f"), "id", "string").alias("id"), strict(F.col("f"), "name", "string").alias("name")))
 
 
 def item_json(items: DataFrame) -> DataFrame:
