@@ -87,7 +87,7 @@ _ADDRESS = re.compile(
     re.X | re.I,
 )
 _SURNAME = r"[^\W\d_]{2,}(?:[-'’][^\W\d_]+)*"
-_TITLED = re.compile(rf"(?<![\w@])(?:{'|'.join(sorted(TITLES, key=len, reverse=True))})\b\.?\ +(?:{_SURNAME}\ +(?:[^\W\d_]\.\ +)?(?=(?-i:[A-ZÀ-Þ])))?(?!(?:de|la|der|die|das|the|le|el)\b){_SURNAME}", re.I)
+_TITLED = re.compile(rf"(?<![\w@])(?:{'|'.join(sorted(TITLES, key=len, reverse=True))})\b\.?\ +((?!(?:de|la|der|die|das|the|le|el)\b){_SURNAME})", re.I)
 _SAID = re.compile(
     r"""(?:account\ holder|registered\ to|signed\ by|phone\ of|in\ an\ emergency:|compte\ ouvert\ par|angelegt\ von|cuenta\ a\ nombre\ de|ship\ tokens\ to|reach)\s+
         ((?-i:[A-ZÀ-Þ][^\W\d_]+(?:\ [A-ZÀ-Þ]\.)?\ [A-ZÀ-Þ][^\W\d_]+))(?=[.,;]|\s+(?:on|keeps|under)\b|$)""",
@@ -102,8 +102,9 @@ def _person(text: str, free) -> Iterator[tuple[int, int]]:
     words = [(m.start(), m.end(), m[0].lower()) for m in _WORD.finditer(text)]
     if any(w in TITLES for _, _, w in words):
         for m in _TITLED.finditer(text):
-            if m[0][0].isupper() or m[0].split()[0].lower().rstrip(".") in GENDER:
-                yield m.span()
+            if m[0][0].isupper():
+                more = _AFTER.match(text, m.end()) if m[1].lower() in GENDER else None
+                yield m.start(), more.end() if more else m.end()
     for a, b, w in words:
         if w not in GENDER or not free(a, b) or text[a - 1 : a] in ("@", "-", "_", "+") or text[b : b + 1] in ("@", "_", "+"):
             continue
