@@ -1,12 +1,13 @@
 """One surviving record per group of duplicates, by skyline selection.
 
 Records of a group are points: completeness (length of the password history, presence of notes,
-TOTP and folder, length of the name), recency (revision date) and trust (creation date). A record
-is dominated if another is at least as good everywhere; between records equal in history and both
-dates only the one with the smaller position can dominate. The lexicographic policy (history, revision, creation, position) then picks
-among the undominated ones: the survivor, and for each of its empty fields the record that fills it.
-Presence flags are dimensions themselves, so whichever record the policy would fill a null from is
-undominated too: the layers below the first never have to be kept.
+length of the name), recency (revision date) and trust (creation date). A record is dominated if
+another is at least as good everywhere; between records equal in history and both dates only the
+one with the smaller position can dominate. The lexicographic policy (history, revision, creation,
+position) picks the survivor among the undominated ones. Its empty fields are filled from
+successive dominance layers: from the first layer that has a value, and in it from the record that
+the policy ranks first. Notes and name length are dimensions of the skyline, because their source is
+fixed by the policy alone: so it always lies in the first layer.
 """
 
 from __future__ import annotations
@@ -21,8 +22,12 @@ from pyspark.sql import functions as F
 
 from ..functions.text import is_blank, normalize_name, stable_digest, text_or_empty, utrim
 from ..operators.merge import fit_notes
+from ..session import cut
 
-FILLED = ("notes", "totp", "folder")
+FILLED = ("notes",)
+#: Fields that are filled from successive layers, and how many layers are told apart; what lies below is one last layer.
+LAYERED = ("totp", "folder")
+DEPTH = 3
 _POINT = pa.schema([("grp", pa.binary()), ("pos", pa.int64()), ("hist", pa.int64()), ("rev", pa.string()), ("cre", pa.string()), *((f"has_{f}", pa.bool_()) for f in FILLED), ("name_len", pa.int64()), ("n", pa.int64())])
 _POINT_DDL = "grp binary, pos bigint, hist bigint, rev string, cre string, " + ", ".join(f"has_{f} boolean" for f in FILLED) + ", name_len bigint, n bigint"
 _CHOICE_DDL = "grp binary, n bigint, n_undominated bigint, kept_pos bigint, name_pos bigint, " + ", ".join(f"{f}_pos bigint" for f in FILLED)
@@ -99,21 +104,34 @@ def _choose(t: pa.Table) -> pa.RecordBatch:
     return out.filter(pc.greater(out["n"], 1))
 
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Groups arrive whole, one after the other; of the open one only its skyline is held."""
-    held: pa.Table | None = None
-    for b in batches:
-        if not b.num_rows:
-            continue
-        t = pa.Table.from_batches([b])
-        t = _skyline(t if held is None else pa.concat_tables([held, t]))
-        last = t["grp"][t.num_rows - 1]
-        closed = pc.sum(pc.not_equal(t["grp"], last)).as_py() or 0
-        if closed:
-            yield from _choose(t.slice(0, closed)).combine_chunks().to_batches()
-        held = t.slice(closed).combine_chunks()
-    if held is not None:
-        yield from _choose(held).combine_chunks().to_batches()
+def _merge(use):
+    """use(undominated rows of whole groups). Groups arrive one after the other; of the open one only
+    its skyline is held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t = pa.Table.from_batches([b])
+            t = _skyline(t if held is None else pa.concat_tables([held, t]))
+            last = t["grp"][t.num_rows - 1]
+            closed = pc.sum(pc.not_equal(t["grp"], last)).as_py() or 0
+            if closed:
+                yield from use(t.slice(0, closed)).combine_chunks().to_batches()
+            held = t.slice(closed).combine_chunks()
+        if held is not None:
+            yield from use(held).combine_chunks().to_batches()
+
+    return run
+
+
+def _skylines(points: DataFrame, use, ddl: str, rows_at_once: int) -> DataFrame:
+    """Skylines merge like partial aggregates: each input partition first drops what is dominated inside
+    blocks of rows_at_once, which takes a hot group down to its few undominated rows, then one shuffle
+    by group of narrow rows, merged as a stream."""
+    local = points.mapInArrow(_local(rows_at_once), _POINT_DDL)
+    return local.repartition("grp").sortWithinPartitions("grp").mapInArrow(_merge(use), ddl)
 
 
 def login_members(ciphers: DataFrame) -> DataFrame:
@@ -124,22 +142,44 @@ def login_members(ciphers: DataFrame) -> DataFrame:
     return ciphers.where(may).withColumn("grp", key)
 
 
+def _history() -> Column:
+    return F.greatest(F.coalesce(F.size("password_history"), F.lit(0)), F.lit(0)).cast("bigint")
+
+
 def _points(members: DataFrame) -> DataFrame:
-    has: dict[str, Column] = {"notes": F.col("notes"), "totp": F.col("login.totp"), "folder": F.col("folder_id")}
-    return members.select("grp", F.col("pos").cast("bigint").alias("pos"), F.greatest(F.coalesce(F.size("password_history"), F.lit(0)), F.lit(0)).cast("bigint").alias("hist"), text_or_empty(F.col("revision_date")).alias("rev"), text_or_empty(F.col("creation_date")).alias("cre"), *[(~is_blank(has[f])).alias(f"has_{f}") for f in FILLED], F.length(text_or_empty(F.col("name"))).cast("bigint").alias("name_len"), F.lit(1).cast("bigint").alias("n"))
+    has: dict[str, Column] = {"notes": F.col("notes")}
+    return members.select("grp", F.col("pos").cast("bigint").alias("pos"), _history().alias("hist"), text_or_empty(F.col("revision_date")).alias("rev"), text_or_empty(F.col("creation_date")).alias("cre"), *[(~is_blank(has[f])).alias(f"has_{f}") for f in FILLED], F.length(text_or_empty(F.col("name"))).cast("bigint").alias("name_len"), F.lit(1).cast("bigint").alias("n"))
 
 
 def choose_survivors(members: DataFrame, rows_at_once: int = 100_000) -> DataFrame:
-    """One row per group of two or more: n, kept_pos, name_pos and notes_pos, totp_pos, folder_pos
-    (-1: no member has it).
-
-    Skylines are merged like partial aggregates: each input partition first drops what is dominated
-    inside blocks of rows_at_once, which takes a hot group down to its few undominated rows, then
-    one shuffle by group of narrow rows, merged as a stream that holds one group's skyline. Null
-    dates count as empty and lose to all others; repeated rows differ by position only.
-    """
-    local = _points(members).mapInArrow(_local(rows_at_once), _POINT_DDL)
-    return local.repartition("grp").sortWithinPartitions("grp").mapInArrow(_merge, _CHOICE_DDL)
+    """One row per group of two or more: n, n_undominated, kept_pos, name_pos and notes_pos (-1: no
+    member has notes). Null dates count as empty and lose to all others; repeated rows differ by
+    position only. The order of rows does not matter, nor does rows_at_once."""
+    return _skylines(_points(members), _choose, _CHOICE_DDL, rows_at_once)
+
+
+def dominance_layers(members: DataFrame, depth: int = DEPTH, rows_at_once: int = 100_000) -> DataFrame:
+    """(grp, pos, layer) of every member: layer 1 is the skyline, layer 2 the skyline of the rest, and so
+    on to depth; what lies below has layer depth + 1. The narrow points are peeled in the shared
+    folder, a layer at a time; no group is ever held whole."""
+    rest = cut(_points(members))
+    out = rest.select("grp", "pos").withColumn("layer", F.lit(0)).limit(0)
+    for layer in range(1, depth + 1):
+        top = cut(_skylines(rest, lambda t: t, _POINT_DDL, rows_at_once).select("grp", "pos"))
+        out = out.unionByName(top.withColumn("layer", F.lit(layer)))
+        rest = cut(rest.join(top, ["grp", "pos"], "left_anti"))
+    return out.unionByName(rest.select("grp", "pos").withColumn("layer", F.lit(depth + 1)))
+
+
+def fill_sources(members: DataFrame, chosen: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """(grp, totp_pos, folder_pos, n_layers) of the chosen groups: where the policy finds each layered field
+    first, layer by layer; null if no member has it. Combined before the shuffle."""
+    several = members.join(chosen.select("grp"), "grp", "left_semi")
+    has = {"totp": F.col("login.totp"), "folder": F.col("folder_id")}
+    facts = several.select("grp", "pos", _history().alias("h"), text_or_empty(F.col("revision_date")).alias("rev"), text_or_empty(F.col("creation_date")).alias("cre"), *[(~is_blank(has[f])).alias(f"has_{f}") for f in LAYERED])
+    placed = facts.join(dominance_layers(several, depth), ["grp", "pos"])
+    order = F.struct((-F.col("layer")).alias("l"), "h", "rev", "cre", (-F.col("pos")).alias("p"))
+    return placed.groupBy("grp").agg(*[F.max_by(F.when(F.col(f"has_{f}"), F.col("pos")), F.when(F.col(f"has_{f}"), order)).alias(f"{f}_pos") for f in LAYERED], F.max("layer").alias("n_layers"))
 
 
 def found(ciphers: DataFrame) -> DataFrame:
@@ -151,15 +191,16 @@ def found(ciphers: DataFrame) -> DataFrame:
 
 def survivors(ciphers: DataFrame, budget: int = 6_800) -> DataFrame:
     """The surviving record of each group: longest name, merged notes, fullest history, and TOTP and
-    folder filled where the survivor has none.
+    folder filled from successive dominance layers where the survivor has none.
 
     Merged notes are the distinct trimmed notes in policy order, cut to budget bytes at a separator.
     Each takes at least six bytes with its separator, so the first budget / 6 of a group hold all
     that can fit; the limit is applied before the shuffle too, so no group is ever collected whole.
     """
     members = login_members(ciphers)
-    chosen = choose_survivors(members)
-    policy = F.struct((-F.greatest(F.coalesce(F.size("password_history"), F.lit(0)), F.lit(0))).alias("h"), text_or_empty(F.col("revision_date")).alias("rev"), text_or_empty(F.col("creation_date")).alias("cre"), "pos")
+    chosen = cut(choose_survivors(members))
+    chosen = chosen.join(fill_sources(members, chosen), "grp")
+    policy = F.struct((-_history()).alias("h"), text_or_empty(F.col("revision_date")).alias("rev"), text_or_empty(F.col("creation_date")).alias("cre"), "pos")
     distinct = members.where(~is_blank(F.col("notes"))).select("grp", utrim(F.col("notes")).alias("note"), policy.alias("p")).groupBy("grp", "note").agg(F.max(F.struct((-F.col("p.h")).alias("h"), "p.rev", "p.cre", (-F.col("p.pos")).alias("neg_pos"))).alias("p"))
     order = Window.partitionBy("grp").orderBy(F.col("p").desc())
     first = distinct.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= budget // 6 + 1)
@@ -169,6 +210,6 @@ def survivors(ciphers: DataFrame, budget: int = 6_800) -> DataFrame:
     out = chosen.join(base, "kept_pos").join(other("name_pos", F.col("name"), "name"), "name_pos").join(other("totp_pos", F.col("login.totp"), "fill_totp"), "totp_pos", "left").join(other("folder_pos", F.col("folder_id"), "fill_folder"), "folder_pos", "left").join(notes, "grp", "left")
     pick = lambda own, fill: F.when(is_blank(own), fill).otherwise(own)
     return out.select(
-        "kept_pos", "id", "n", "n_undominated", "name", F.col("login.username").alias("username"), fit_notes(F.col("all_notes"), budget).alias("notes"), pick(F.col("login.totp"), F.col("fill_totp")).alias("totp"),
+        "kept_pos", "id", "n", "n_undominated", "n_layers", "name", F.col("login.username").alias("username"), fit_notes(F.col("all_notes"), budget).alias("notes"), pick(F.col("login.totp"), F.col("fill_totp")).alias("totp"),
         pick(F.col("own_folder"), F.col("fill_folder")).alias("folder_id"), "password_history", "revision_date", "creation_date", "name_pos", "notes_pos", F.coalesce("n_notes", F.lit(0)).alias("n_notes"),
     )

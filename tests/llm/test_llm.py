@@ -53,6 +53,25 @@ def test_survivors_match_brute_force(spark):
         assert sorted({r[:3] for r in rows(got, "kept_pos", "name_pos", "notes_pos")}) == sorted({w[1:] for w in want})
 
 
+def test_dominance_layers(spark):
+    rnd = random.Random(2)
+    items = table(spark, *[{"name": "n", "login": login(), "revision_date": rnd.choice("abc"), "creation_date": rnd.choice("abc"), "password_history": [{"password": "x", "last_used_date": None}] * rnd.randint(0, 2)} for _ in range(60)])
+    got = {p: n for _, p, n in rows(survivors.dominance_layers(survivors.login_members(items), 4, 7))}
+    rest = {r.pos: (len(r.password_history), r.revision_date, r.creation_date) for r in items.collect()}
+    for layer in range(1, 5):
+        top = {p for p, v in rest.items() if not any(all(a >= b for a, b in zip(w, v, strict=True)) and (w != v or q < p) for q, w in rest.items() if q != p)}
+        assert top == {p for p, n in got.items() if n == layer}
+        rest = {p: v for p, v in rest.items() if p not in top}
+    assert set(rest) == {p for p, n in got.items() if n == 5}
+
+
+def test_nulls_are_filled_from_the_next_layer(spark):
+    base = {"name": "n", "login": login("u")}
+    items = table(spark, base | {"revision_date": "9", "creation_date": "9"}, base | {"revision_date": "1", "creation_date": "1", "folder_id": "low"}, base | {"revision_date": "5", "creation_date": "5", "folder_id": "mid"}, base | {"revision_date": "8", "creation_date": "8", "folder_id": " "})
+    r = survivors.survivors(items).first()
+    assert (r.kept_pos, r.n_undominated, r.n_layers, r.folder_id, r.totp) == (0, 1, 4, "mid", None)
+
+
 def test_survivor_records(spark):
     base = {"login": login("u"), "name": "n"}
     items = table(spark, base | {"notes": " b", "revision_date": "3"}, base | {"notes": "a", "name": "n ", "login": login("u", totp="T"), "folder_id": "f", "revision_date": "2"}, base | {"notes": "b", "revision_date": "1"}, {"login": login("x")})
