@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import hmac
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from .urls import bind
 
 # Fixed value: fewer rounds are refused.
 LEAST_ROUNDS = 600_000
@@ -38,19 +37,44 @@ def split_key(key: bytes) -> tuple[bytes, bytes]:
 _PARTS = r"\A2\.([A-Za-z0-9+/=]+)\|([A-Za-z0-9+/=]+)\|([A-Za-z0-9+/=]+)\z"
 
 
-def decrypted(text: Column, key: tuple[bytes, bytes]) -> Column:
-    """Clear text of "2.iv|data|mac" (AES-256-CBC, HMAC-SHA256). Only this type is read, and only if
-    the MAC holds, which is checked before anything is decrypted; else null."""
-    enc, mac_key = key
+def _xor(key: Column, with_byte: int) -> Column:
+    """64 bytes: the 32 of key and 32 zeros, each combined with one byte."""
+    one = lambda i: F.lpad(F.hex(F.conv(F.hex(F.substring(key, i, 1)), 16, 10).cast("bigint").bitwiseXOR(F.lit(with_byte))), 2, "0")
+    return F.concat(F.unhex(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(32)), one), "")), F.lit(bytes([with_byte] * 32)))
+
+
+def keys(enc: Column, mac: Column) -> Column:
+    """struct(enc, inner, outer): a key made ready for decrypted(); null if a part has not 32 bytes."""
+    whole = (F.octet_length(enc) == 32) & (F.octet_length(mac) == 32)
+    return F.when(whole, F.struct(enc.alias("enc"), _xor(mac, 0x36).alias("inner"), _xor(mac, 0x5C).alias("outer")))
+
+
+def constant_key(key: tuple[bytes, bytes]) -> Column:
+    """keys() of a key that is known on the driver."""
+    enc, mac = key
+    return F.struct(F.lit(enc).alias("enc"), F.lit(bytes(b ^ 0x36 for b in mac.ljust(64, b"\0"))).alias("inner"), F.lit(bytes(b ^ 0x5C for b in mac.ljust(64, b"\0"))).alias("outer"))
+
 
-    @F.pandas_udf(T.BooleanType())
-    def verified(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for body, mac in batches:
-            yield pd.Series([b is not None and m is not None and hmac.compare_digest(hmac.new(mac_key, b, hashlib.sha256).digest(), m) for b, m in zip(body, mac, strict=True)], dtype="boolean")
+def _hash(message: Column) -> Column:
+    return F.unhex(F.sha2(message, 256))
 
+
+def decrypted_bytes(text: Column, key: Column) -> Column:
+    """Clear bytes of "2.iv|data|mac" (AES-256-CBC, HMAC-SHA256) with a struct of keys(). Only this type
+    is read, and only if the MAC holds; else null. All of it are built-in functions, so it also works
+    on array elements and with a key of its own for each row."""
     part = lambda n: F.try_to_binary(F.when(text.rlike(_PARTS), F.regexp_extract(text, _PARTS, n)), F.lit("base64"))
-    iv, data, mac = part(1), part(2), part(3)
-    shaped = (F.octet_length(iv) == 16) & (F.octet_length(mac) == 32) & (F.octet_length(data) > 0) & (F.octet_length(data) % 16 == 0)
-    body = F.when(shaped, F.concat(iv, data))
-    clear = F.try_aes_decrypt(body, F.lit(enc), F.lit("CBC"), F.lit("PKCS"))
-    return F.when(verified(body, F.when(shaped, mac)), F.try_validate_utf8(clear.cast("string")))
+    cut = F.struct(part(1).alias("iv"), part(2).alias("data"), part(3).alias("mac"))
+
+    def clear(p: Column) -> Column:
+        shaped = (F.octet_length(p.iv) == 16) & (F.octet_length(p.mac) == 32) & (F.octet_length(p.data) > 0) & (F.octet_length(p.data) % 16 == 0)
+        body = F.concat(p.iv, p.data)
+        holds = _hash(F.concat(key["outer"], _hash(F.concat(key["inner"], body)))) == p.mac
+        return F.when(shaped & holds, F.try_aes_decrypt(body, key["enc"], F.lit("CBC"), F.lit("PKCS")))
+
+    return bind(cut, clear)
+
+
+def decrypted(text: Column, key: Column) -> Column:
+    """Clear text, null if it is no UTF-8."""
+    return F.try_validate_utf8(decrypted_bytes(text, key).cast("string"))

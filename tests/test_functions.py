@@ -125,8 +125,8 @@ def test_decrypted(spark):
     b64 = lambda b: base64.b64encode(b).decode()
     good = hmac.new(mac, iv + data, hashlib.sha256).digest()
     texts = [f"2.{b64(iv)}|{b64(data)}|{b64(good)}", f"2.{b64(iv)}|{b64(data)}|{b64(bytes(32))}", f"0.{b64(iv)}|{b64(data)}", "", None]
-    df = spark.createDataFrame(list(enumerate(texts)), "n int, x string").select("n", crypto.decrypted(F.col("x"), (enc, mac)).alias("clear"))
-    assert rows(df) == [(0, "grüße"), (1, None), (2, None), (3, None), (4, None)]
+    df = spark.createDataFrame(list(enumerate(texts)), "n int, x string").select("n", crypto.decrypted(F.col("x"), crypto.constant_key((enc, mac))).alias("clear"), crypto.decrypted(F.col("x"), crypto.keys(F.lit(enc), F.lit(mac))).alias("again"))
+    assert rows(df, "n", "again") == rows(df, "n", "clear") and rows(df, "n", "clear") == [(0, "grüße"), (1, None), (2, None), (3, None), (4, None)]
 
 
 def test_archive_round_trip(spark, tmp_path):
