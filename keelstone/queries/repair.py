@@ -101,6 +101,8 @@ SQL = {
 kids as (select body_id, cipher_idx, case lower(k.key) when 'fields' then 'fields' when 'passwordhistory' then 'password_history' else 'collection_ids' end child, k.value v from items, json_each(e) k where lower(k.key) in ('fields', 'passwordhistory', 'collectionids')),
 ka as (select body_id, cipher_idx, child, case when json_type(v) = 'ARRAY' then v when json_type(v) in ('OBJECT', 'VARCHAR') then json_array(v) end v from kids)
 select body_id, cipher_idx, child, cast(i as bigint) child_idx from (select body_id, cipher_idx, child, unnest(cast(v as json[])) e, generate_subscripts(cast(v as json[]), 1) - 1 i from ka where v is not null) where e is not null and json_type(e) <> 'NULL'""",
+    "p2_items": f"""with {_ITEMS}, kv as (select body_id, cipher_idx, lower(k.key) k, json_extract_string(k.value, '$') v from items, json_each(e) k)
+select body_id, cipher_idx, max(v) filter (k = 'id') item_id, cast(max(v) filter (k = 'type') as bigint) item_type, max(v) filter (k = 'name') item_name, max(v) filter (k = 'folderid') folder_id from kv group by all""",
     "p2_cipher_fields": "select pos, cast(i - 1 as bigint) child_idx, e.name, e.field_value, e.field_type, e.linked_id from (select pos, unnest(custom_fields) e, generate_subscripts(custom_fields, 1) i from ciphers) where e is not null",
     "p2_cipher_history": "select pos, cast(i - 1 as bigint) child_idx, e.password, e.last_used_date from (select pos, unnest(password_history) e, generate_subscripts(password_history, 1) i from ciphers) where e is not null",
     "p2_cipher_collections": "select pos, cast(i - 1 as bigint) child_idx, e collection_id from (select pos, unnest(collection_ids) e, generate_subscripts(collection_ids, 1) i from ciphers) where e is not null",

@@ -51,7 +51,8 @@ def folder_lines(spark: SparkSession, d: str) -> DataFrame:
 
 def deduplicated_items(spark: SparkSession, d: str) -> DataFrame:
     r = _done(spark, d).items
-    return r.select("pos", "kind", "kept_pos", "is_loser", "name", "notes", "favorite", "deleted_date", F.coalesce(F.size("custom_fields"), F.lit(0)).alias("n_fields"), F.size("login.uris").alias("n_uris"), F.size("password_history").alias("n_history"))
+    n = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)).cast("bigint")
+    return r.select("pos", "kind", "kept_pos", "is_loser", "name", "favorite", "deleted_date", n("custom_fields").alias("n_fields"), n("login.uris").alias("n_uris"), n("password_history").alias("n_history"), n("collection_ids").alias("n_collections"))
 
 
 def dedup_audit(spark: SparkSession, d: str) -> DataFrame:
@@ -193,6 +194,10 @@ select kept_pos, longest_name, any_favorite, nt.totp newest_totp, nt.id totp_fro
     "item_unions": f"with {_K}, {_UNION} select d.kept_pos, " + ", ".join(f"cast(count(o.k) filter (o.what = '{w}' and o.rk > 1) as bigint) n_{w}" for w in ("uri", "history", "field", "collection", "folder")) + " from d left join once o on o.kept_pos = d.kept_pos where d.rk = 1 group by d.kept_pos",
     "merged_notes": f"with {_K}, {_NOTES} select kept_pos, cast(count(*) as bigint) n_notes, string_agg(raw, chr(10) || '---' || chr(10) order by rk) merged_notes from note group by kept_pos",
     "folder_lines": f"with {_K}, {_UNION}, {_FN} select kept_pos, '[merged] originally also in folder' || case when count(*) > 1 then 's' else '' end || ': ' || string_agg(coalesce(fname, k), ', ' order by rk) folder_line from once left join fn on fn.id = k where what = 'folder' and rk > 1 group by kept_pos",
+    "deduplicated_items": f"""with {_K}, {_UNION}, gain as (select kept_pos, """ + ", ".join(f"count(k) filter (what = '{w}' and rk > 1) {w}" for w in ("uri", "history", "field", "collection")) + f""" from once group by 1), s as (select kept_pos, min_by(coalesce(name, ''), [-length(coalesce(name, '')), rk]) ln, bool_or(coalesce(favorite, false)) fav from d group by 1)
+select k.pos, k.kind, d.kept_pos, coalesce(d.rk > 1, false) is_loser, case when d.rk = 1 then s.ln else k.name end as name, case when d.rk = 1 then s.fav else k.favorite end favorite, case when d.rk > 1 then '{NOW}' else k.deleted_date end deleted_date,
+""" + ", ".join(f"cast(coalesce(len(k.{c}), 0) + case when d.rk = 1 then coalesce(gain.{w}, 0) else 0 end as bigint) n_{n}" for c, w, n in (("custom_fields", "field", "fields"), ("login.uris", "uri", "uris"), ("password_history", "history", "history"), ("collection_ids", "collection", "collections"))) + " from k left join d on d.pos = k.pos left join s on s.kept_pos = k.pos left join gain on gain.kept_pos = k.pos",
+    "merged_sources": "with both_ as (select * from ciphers union all by name select row_id + 1099511627776 pos, 'apple-csv-1700000000-' || lpad(cast(row_id as varchar), 6, '0') id, cast(case when " + _LOGINROW + " then 1 else 2 end as bigint) cipher_type, 0 reprompt, case when " + f"{_CSV['title']} <> '' then title when {_CSV['url']} <> '' then {_CSV['url']} when {_CSV['username']} <> '' then {_CSV['username']} else '(unnamed)' end as name, case when {_CSV['notes']} <> '' then notes end notes, '{NOW}' creation_date, '{NOW}' revision_date, case when {_LOGINROW}" + " then {'username': nullif(username, ''), 'password': nullif(password, ''), 'totp': nullif(otpauth, ''), 'password_revision_date': null::varchar, 'uris': case when " + f"{_CSV['url']} <> '' then [" + "{'uri': " + _CSV["url"] + ", 'uri_match': null::bigint}] else [] end, 'fido2_credentials': null} end login from apple_rows where " + _SOMEROW + "), " + _K.replace("from ciphers)", "from both_)", 1) + " select kind, count(*) n_groups, cast(sum(n - 1) as bigint) n_losers from d where rk = 1 group by kind",
     "dedup_audit": f"""with {_K} select d.kind item_kind, case when d.kind = 'empty_password' then (case when p.nf > 0 then 'fido2' when len(p.hosts) > 0 then 'host' else 'username_only' end) end signal_kind, d.pos removed_pos, d.id removed_id, d.name removed_name, d.revision_date removed_revision_date, coalesce(d.login.totp, '') <> '' removed_totp_present, d.kept_pos, p.id kept_id, l.ln kept_name, l.conflict totp_conflict
 from d join d p on p.pos = d.kept_pos join (select kept_pos, min_by(name, [-length(coalesce(name, '')), rk]) ln, count(distinct login.totp) filter ({_T} and kind in ('login', 'empty_password')) > 1 conflict from d group by 1) l on l.kept_pos = d.kept_pos where d.rk > 1""",
     "dedup_stats": f"""with {_K}, {_UNION}, s as (select kept_pos, kind, n, case when nf > 0 then 'fido2' when len(hosts) > 0 then 'host' else 'username_only' end signal from d where rk = 1)
