@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import text_or_empty, utrim
 from ..functions.urls import host_set
+from ..session import cut
 from . import merge
 from .folders import folder_names
 from .passes import PASSES, Config, groups, has_fido2, with_groups
@@ -120,9 +121,13 @@ def signal_kind() -> Column:
 
 def deduplicate(items: DataFrame, now: str, folders: DataFrame | None = None, config: Config = Config()) -> Deduplicated:
     """The whole pass over items with the columns of the item schema and a unique pos. Nothing is
-    removed: output rows are input rows. Null or empty input tables give empty results."""
+    removed: output rows are input rows. Null or empty input tables give empty results.
+
+    The patches, one row per group of two or more, are written once to the shared folder, because
+    items, audit and stats all need them.
+    """
     grouped = with_groups(items, config)
-    patches = build_patches(grouped, folders)
+    patches = cut(build_patches(grouped, folders))
     mark = patches.select("grp", "kept_pos")
     marked = grouped.join(mark, "grp", "left").withColumn("is_loser", F.coalesce(F.col("pos") != F.col("kept_pos"), F.lit(False)))
     trashed = marked.withColumn("deleted_date", F.when(F.col("is_loser"), F.lit(now)).otherwise(F.col("deleted_date"))).drop("grp", "policy")

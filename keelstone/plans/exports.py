@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from ..operators import dedup, folders
 from ..operators.passes import Config
+from ..session import cut
 from ..sources import passwords_csv, vault
 
 #: A document as one file is assembled on the driver; larger results stay tables of JSON lines.
@@ -57,7 +58,8 @@ def item_lines(result: DataFrame) -> DataFrame:
 
 
 def run(items: DataFrame, folder_rows: DataFrame, now: str, config: Config = Config()) -> Run:
-    """Folders first: equal names collapse and items follow; then all item passes at once."""
+    """Folders first: equal names collapse and items follow; then all item passes at once. The resulting
+    items are written once to the shared folder, whatever is then made of them."""
     remap = folders.folder_remap(folder_rows)
     before = items.select("pos", F.col("folder_id").alias("folder_before"))
     moved = folders.remap_folders(items, remap)
@@ -66,7 +68,8 @@ def run(items: DataFrame, folder_rows: DataFrame, now: str, config: Config = Con
     out = r.items.join(before, "pos").withColumn("remapped", ~F.col("folder_id").eqNullSafe(F.col("folder_before"))).drop("folder_before")
     counts = remap.agg(F.count("*").alias("folders_deduplicated"))
     both = r.stats.unionByName(counts, allowMissingColumns=True)
-    return Run(out, kept, r.audit, both.agg(*[F.max(c).alias(c) for c in both.columns]))
+    stats = cut(both.agg(*[F.max(c).alias(c) for c in both.columns]))
+    return Run(cut(out), kept, cut(r.audit), stats)
 
 
 def dedup_export(spark: SparkSession, path: str, now: str, config: Config = Config()) -> Run:
@@ -84,12 +87,9 @@ def merge_passwords(spark: SparkSession, export: str, csv: str, epoch_seconds: i
 
 def write(r: Run, folder: str, mode: str = "errorifexists") -> None:
     """living, trashed, folders, audit and stats under folder."""
-    lines = item_lines(r.items).persist()
-    try:
-        lines.where(F.coalesce("deleted", F.lit("")) == "").orderBy("pos").select("item").write.mode(mode).text(f"{folder}/living")
-        lines.where(F.coalesce("deleted", F.lit("")) != "").orderBy("pos").select("item").write.mode(mode).text(f"{folder}/trashed")
-    finally:
-        lines.unpersist()
+    lines = cut(item_lines(r.items))
+    lines.where(F.coalesce("deleted", F.lit("")) == "").orderBy("pos").select("item").write.mode(mode).text(f"{folder}/living")
+    lines.where(F.coalesce("deleted", F.lit("")) != "").orderBy("pos").select("item").write.mode(mode).text(f"{folder}/trashed")
     for name, df in (("folders", r.folders), ("audit", r.audit), ("stats", r.stats)):
         df.write.mode(mode).json(f"{folder}/{name}")
 
@@ -97,7 +97,7 @@ def write(r: Run, folder: str, mode: str = "errorifexists") -> None:
 def document(r: Run, trashed: bool = False, limit: int = DOCUMENT_BYTES) -> str:
     """The export as one document, in input order, if it is at most limit bytes."""
     gone = F.coalesce("deleted", F.lit("")) != ""
-    lines = item_lines(r.items).where(gone if trashed else ~gone)
+    lines = cut(item_lines(r.items).where(gone if trashed else ~gone))
     size = lines.agg(F.coalesce(F.sum(F.octet_length("item")), F.lit(0))).first()[0]
     if size > limit:
         raise ValueError(f"the items take {size} bytes; write() keeps them as a table")

@@ -32,7 +32,7 @@ def item_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 def item_patches(spark: SparkSession, d: str) -> DataFrame:
-    p = _done(spark, d).patches
+    p = dedup.groups(with_groups(_items(spark, d)))
     return p.select("kept_pos", "longest_name", "any_favorite", "newest_totp", F.when(F.col("kind").isin("login", "empty_password"), F.col("totp_from_id")).alias("totp_from_id"), "totp_conflict")
 
 
