@@ -61,15 +61,15 @@ def _entries(folders: DataFrame | None) -> Column:
 def build_patches(grouped: DataFrame, folders: DataFrame | None = None, budget: int = merge.NOTES_BUDGET) -> DataFrame:
     """One row per group with what its survivor gains.
 
-    Members meet their group (unique rows, so a hot group is split by adaptive skew handling), open
-    into one long table of entries and are combined by (group, entry) before the shuffle: whether the
+    Members meet their group first (unique rows, so a hot group is split by adaptive skew handling, and
+    rows without a duplicate go no further), open into one long table of entries and are combined by (group, entry) before the shuffle: whether the
     survivor has the entry, and its first place in rank order. Only distinct additions are collected.
     """
     found = groups(grouped)
-    members = grouped.where("kind is not null")
+    members = grouped.where("kind is not null").join(found.select("grp", "kept_pos"), "grp")
     if folders is not None:
         members = members.join(folder_names(folders), "folder_id", "left")
-    held = members.select("grp", "pos", "policy", _entries(folders).alias("e")).join(found.select("grp", "kept_pos"), "grp").select("grp", "policy", (F.col("pos") == F.col("kept_pos")).alias("own"), F.inline("e"))
+    held = members.select("grp", "policy", (F.col("pos") == F.col("kept_pos")).alias("own"), F.inline(_entries(folders)))
     place = F.struct("policy", (-F.col("idx")).alias("neg_idx"))
     distinct = held.groupBy("grp", "what", "key").agg(F.bool_or("own").alias("own"), F.max(place).alias("place"), F.max_by("value", place).alias("value"))
     taken = distinct.where("not own or what = 'note'")
@@ -119,15 +119,18 @@ def signal_kind() -> Column:
     return F.when(has_fido2(), "fido2").when(F.size(host_set(F.col("login.uris"))) > 0, "host").otherwise("username_only")
 
 
-def deduplicate(items: DataFrame, now: str, folders: DataFrame | None = None, config: Config = Config()) -> Deduplicated:
+def deduplicate(items: DataFrame, now: str, folders: DataFrame | None = None, config: Config = Config(), write_patches: bool = False) -> Deduplicated:
     """The whole pass over items with the columns of the item schema and a unique pos. Nothing is
     removed: output rows are input rows. Null or empty input tables give empty results.
 
-    The patches, one row per group of two or more, are written once to the shared folder, because
-    items, audit and stats all need them.
+    With write_patches the patches, one row per group of two or more, are written once to the shared
+    folder: right where items, audit and stats are all wanted. Without, each output computes just
+    what it shows of them.
     """
     grouped = with_groups(items, config)
-    patches = cut(build_patches(grouped, folders))
+    patches = build_patches(grouped, folders)
+    if write_patches:
+        patches = cut(patches)
     mark = patches.select("grp", "kept_pos")
     marked = grouped.join(mark, "grp", "left").withColumn("is_loser", F.coalesce(F.col("pos") != F.col("kept_pos"), F.lit(False)))
     trashed = marked.withColumn("deleted_date", F.when(F.col("is_loser"), F.lit(now)).otherwise(F.col("deleted_date"))).drop("grp", "policy")

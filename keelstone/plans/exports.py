@@ -64,7 +64,7 @@ def run(items: DataFrame, folder_rows: DataFrame, now: str, config: Config = Con
     before = items.select("pos", F.col("folder_id").alias("folder_before"))
     moved = folders.remap_folders(items, remap)
     kept = folders.surviving_folders(folder_rows, remap)
-    r = dedup.deduplicate(moved, now, kept, config)
+    r = dedup.deduplicate(moved, now, kept, config, write_patches=True)
     out = r.items.join(before, "pos").withColumn("remapped", ~F.col("folder_id").eqNullSafe(F.col("folder_before"))).drop("folder_before")
     counts = remap.agg(F.count("*").alias("folders_deduplicated"))
     both = r.stats.unionByName(counts, allowMissingColumns=True)

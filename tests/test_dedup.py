@@ -41,7 +41,7 @@ def golden(spark):
 
 
 def test_golden_counts(spark):
-    r = dedup.deduplicate(golden(spark), NOW)
+    r = dedup.deduplicate(golden(spark), NOW, write_patches=True)
     s = r.stats.first()
     assert (s.total, s.skipped, s.groups, s.trashed, s.merged_uris, s.output, s.living) == (22, 7, 5, 6, 3, 22, 15)
     assert r.items.count() == 22 and dedup.living(r.items).count() == 15 and dedup.trashed(r.items).count() == 7
