@@ -53,6 +53,7 @@ _LAYOUT = re.compile(
     re.X,
 )
 _GAP = re.compile(r"(?<=\S) {2,}(?=\S)")
+_SENTENCE_BREAK = re.compile(r"[^\W\d_][.!?;][\"'”»)]? +[\"'“«(¿¡]?[A-ZÀ-Þ\d]")
 _ENDS = tuple(".!?…:;\"'”»)")
 
 
@@ -137,6 +138,8 @@ def _fragments(lines: list[str]) -> bool:
     joined = "".join(lines)
     if sum(map(str.isalpha, joined)) * 2 < len(joined) - joined.count(" "):
         return False
+    if sum(len(_SENTENCE_BREAK.findall(x)) for x in lines) * 400 > len(joined):  # sentences begin inside lines
+        return False
     return not _wraps([x.rstrip() for x in lines])
 
 
