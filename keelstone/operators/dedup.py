@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import text_or_empty, utrim
@@ -72,7 +72,10 @@ def build_patches(grouped: DataFrame, folders: DataFrame | None = None, budget:
     held = members.select("grp", "policy", (F.col("pos") == F.col("kept_pos")).alias("own"), F.inline(_entries(folders)))
     place = F.struct("policy", (-F.col("idx")).alias("neg_idx"))
     distinct = held.groupBy("grp", "what", "key").agg(F.bool_or("own").alias("own"), F.max(place).alias("place"), F.max_by("value", place).alias("value"))
-    taken = distinct.where("not own or what = 'note'")
+    # Each merged note takes a separator and at least one byte, so the first of a rank order hold all that fits the budget.
+    fits = budget // (len(merge.SEPARATOR) + 1) + 1
+    ranked = distinct.where("what = 'note'").withColumn("rank", F.row_number().over(Window.partitionBy("grp").orderBy(F.col("place").desc())))
+    taken = distinct.where("not own and what <> 'note'").unionByName(ranked.where(F.col("rank") <= fits).drop("rank"))
     inner = lambda w: F.when(F.col("what") == w, F.struct("place", "value"))
     gains = taken.groupBy("grp").agg(*[F.transform(F.sort_array(F.collect_list(inner(w)), asc=False), lambda x: x.value).alias(f"{w}_values") for w in ("uri", "history", "field", "collection", "note", "folder")], F.count_if((F.col("what") == "note") & F.col("own")).alias("own_notes"))
     none = F.expr("cast(array() as array<string>)")

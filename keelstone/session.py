@@ -11,7 +11,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder for checkpoints: spark.checkpoint.dir where the cluster names one, otherwise a
     temporary folder, which only ever happens in local mode (tests)."""
     sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir")
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not named:
         if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")

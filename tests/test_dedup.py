@@ -132,6 +132,12 @@ def test_long_notes_are_cut(spark):
     assert r.audit.first().notes_truncated
 
 
+def test_only_as_many_notes_as_fit_are_collected(spark):
+    hot = table(spark, *[{"name": "n", "login": login(), "notes": str(i)} for i in range(1500)])
+    k = survivor(dedup.deduplicate(hot, NOW))
+    assert k.notes.startswith("0\n---\n1\n---\n2\n") and k.notes.endswith("duplicates]") and 6700 < len(k.notes) <= 6800
+
+
 def test_folders(spark):
     f = spark.createDataFrame([("a", "Main", 0), ("b", " main​", 1), (None, "MAIN", 2), ("c", "other", 3), ("b", "again", 4)], "id string, name string, pos int")
     remap = folders.folder_remap(f)
