@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .text import text_or_empty, utrim
 
@@ -36,12 +38,27 @@ def _host(a: Column) -> Column:
 def host_of(uri: Column) -> Column:
     """struct(kind, token), null for a blank URI. kind: android (package, case kept), dns (lower case) or
     ip for http, https, ws, wss, with a port that is not the default; otherwise opaque, the trimmed
-    text as it is. Hosts outside ASCII are lower-cased, not converted to punycode."""
+    text as it is. Hosts outside ASCII are lower-cased; punycode() converts their tokens."""
     cut = lambda u: F.struct(u.alias("u"), F.lower(F.regexp_extract(u, _WEB, 1)).alias("scheme"), F.regexp_replace(F.regexp_extract(u, _WEB, 2), r"(?s)\A.*@", "").alias("where"))
     parts = lambda a: F.struct(a.u, a.scheme, F.lower(F.regexp_replace(a["where"], r":\d*\z", "")).alias("host"), F.regexp_replace(F.regexp_extract(a["where"], r":(\d*)\z", 1), r"\A0+(?=\d)", "").alias("port"))
     return bind(utrim(uri), lambda u: bind(cut(u), lambda a: bind(parts(a), _host)))
 
 
+def ascii_host(host: str) -> str:
+    """A host name in its ASCII form (punycode labels); what cannot be converted stays."""
+    try:
+        return host if host.isascii() else ".".join(p if p.isascii() else p.encode("idna").decode() for p in host.split("."))
+    except UnicodeError:
+        return host
+
+
+@F.pandas_udf(T.StringType())
+def punycode(hosts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """ascii_host over a column of tokens, for where hosts outside ASCII occur; Arrow batches."""
+    for s in hosts:
+        yield s.map(ascii_host, na_action="ignore")
+
+
 def host_set(uris: Column) -> Column:
     """Sorted distinct hosts of an array of struct(uri, ...); empty for null."""
     return F.coalesce(F.array_sort(F.array_distinct(F.filter(F.transform(uris, lambda x: host_of(x.uri)), lambda h: h.isNotNull()))), F.expr("cast(array() as array<struct<kind:string,token:string>>)"))

@@ -56,6 +56,11 @@ def test_host_of(spark, uri, want):
     assert (None if got is None else tuple(got)) == want
 
 
+def test_hosts_outside_ascii(spark):
+    df = spark.createDataFrame([("https://MÜNCHEN.test:81/x",), ("https://a.test",), (None,), ("https://.ü.test",)], "u string").select(urls.punycode(urls.host_of(F.col("u"))["token"]).alias("h"))
+    assert rows(df) == [(None,), (".xn--tda.test",), ("a.test",), ("xn--mnchen-3ya.test:81",)]
+
+
 def test_query_and_scrubbed_uris(spark):
     assert one(spark, "a b&c=d/é{{x}}", urls.encode_query) == "a%20b%26c%3Dd/%C3%A9{{x}}"
     df = spark.range(1).select(urls.with_query(F.lit("http://a?z=1"), F.array(F.lit("k")), F.array(F.lit("v+"))).alias("u"))
