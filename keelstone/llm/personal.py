@@ -36,7 +36,7 @@ GENDER = {n: "f" for n in FEMALE} | {n: "m" for n in MALE}
 TITLES = frozenset("mr mrs ms miss mx dr prof herr frau mme mlle madame monsieur sr sra srta señor señora doña dra".split())
 _FILE_ENDINGS = frozenset("png jpg jpeg gif svg webp bmp ico pdf css js html xml json csv txt zip".split())
 
-_EMAIL = re.compile(r"(?<![\w.+-])[\w.+%-]*\w\s?(?:@|[(\[{]\s?(?:at|AT)\s?[)\]}]\s?)(?:[\w-]+(?:\.|\s?[(\[{]\s?(?:dot|DOT)\s?[)\]}]\s?))+([A-Za-z]{2,24})(?![\w-])")
+_EMAIL = re.compile(r"(?<![\w.+%-])[\w.+%-]*\w\s?(?:@|[(\[{]\s?(?:at|AT)\s?[)\]}]\s?)(?:[\w-]+(?:\.|\s?[(\[{]\s?(?:dot|DOT)\s?[)\]}]\s?))+([A-Za-z]{2,24})(?![\w-])")
 _IDS = re.compile(
     r"""(?<![\w+-])(?:
       (?:passport|passeport|pasaporte|reisepass)(?:\s?(?:no|nr|nº|n°|number)\b\.?)?:?\s?(?=[A-Z0-9]*\d)[A-Z0-9]{6,12}
@@ -127,18 +127,26 @@ def _person(text: str, free) -> Iterator[tuple[int, int]]:
 def find(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of what is found, in order, without overlaps; earlier kinds win."""
     taken: list[tuple[int, int, str]] = []
+    used = bytearray(len(text))
 
     def free(a: int, b: int) -> bool:
-        return all(b <= x or a >= y for x, y, _ in taken)
+        return used.find(1, a, b) < 0
+
+    def take(a: int, b: int, kind: str) -> None:
+        if free(a, b):
+            used[a:b] = b"\1" * (b - a)
+            taken.append((a, b, kind))
 
     if "@" in text or "at" in text.lower():
-        taken += [(*m.span(), "email") for m in _EMAIL.finditer(text) if m[1].lower() not in _FILE_ENDINGS]
+        for m in _EMAIL.finditer(text):
+            if m[1].lower() not in _FILE_ENDINGS:
+                take(*m.span(), "email")
     if any(map(str.isdigit, text)):
         for kind, pattern in (("id_number", _IDS), ("phone", _PHONE), ("address", _ADDRESS)):
-            taken += [(*m.span(), kind) for m in pattern.finditer(text) if free(*m.span())]
+            for m in pattern.finditer(text):
+                take(*m.span(), kind)
     for a, b in _person(text, free):
-        if free(a, b):
-            taken.append((a, b, "person"))
+        take(a, b, "person")
     return sorted(taken)
 
 

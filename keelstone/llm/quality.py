@@ -49,7 +49,7 @@ _LAYOUT = re.compile(
     r"""(?P<blank>\s*\Z)
       |(?P<marked>\s*(?:[-*+•‣◦▪●–—]\ (?!\ )|\[[ xX]\]\s|\(?\d{1,3}[.)]\s|\(?[A-Za-z][.)]\s)|\#\#\ \d[\d.]*\s*\Z|.*\(\#\d+\)\s*\Z)
       |(?P<pair>\s*(?:https?://\S+\s*\Z|(?:GET|POST|PUT|PATCH|DELETE|HEAD|OPTIONS)\ \S+\s*\Z|HTTP(?:/[\d.]+)?\ (?:\d{3}|\*)\s*\Z|\[\w+\]\s*\Z|(?:jsonpath|xpath|header|status|body|cookie|duration)\b.{0,80}\Z|[\w$.-]{1,40}\s?[:=]\s?[^.!?]{1,80}\Z))
-      |(?P<cells>\s*\|.*\|\s*\Z|[\s=+|-]*[-=]{3}[\s=+|-]*\Z)""",
+      |(?P<cells>\s*\|.*\|\s*\Z|(?=.*[-=]{3})[\s=+|-]+\Z)""",
     re.X,
 )
 _GAP = re.compile(r"(?<=\S) {2,}(?=\S)")

@@ -125,6 +125,15 @@ def test_leaves_alone(text):
     assert personal.find(text) == []
 
 
+def test_long_texts_take_linear_time():
+    import time
+
+    began = time.time()
+    for text in ("a%" * 50_000, "x" * 200_000, "ab-" * 50_000, "0 " * 50_000, "Rosa " * 20_000, "a@b.test 415-555-0184 " * 5_000, "Dr. " * 20_000):
+        personal.find(text)
+    assert time.time() - began < 20 and len(personal.find("a@b.test 415-555-0184 " * 500)) == 1000
+
+
 def test_surrogates_are_keyed_bijections():
     s, other = personal.Surrogates("k"), personal.Surrogates("l")
     for n in (1, 2, 3):
@@ -269,6 +278,16 @@ def test_structure(text, want):
     assert quality.structure(text, COMMON)[0] == want
 
 
+def test_long_lines_take_linear_time():
+    import time
+
+    began = time.time()
+    for unit in ("=", "-|", "a", "a ", "|", " ", "\t", "x=", "(#1", "<", "1.", "\n", "- \n", "https://"):
+        for tail in ("", "x", "\n"):
+            quality.structure(unit * 60_000 + tail, COMMON)
+    assert time.time() - began < 40
+
+
 def test_divergence():
     assert quality.divergence((1.0, 0.0), (0.0, 1.0)) == 1 and quality.divergence((0.5, 0.5), (0.5, 0.5)) == 0
     assert all(abs(sum(c) - 1) < 0.02 and abs(sum(w) - 1) < 0.02 for c, w in quality.PROFILES.values())
