@@ -33,8 +33,8 @@ class Deduplicated:
     stats: DataFrame
 
 
-def _entries(folders: DataFrame | None) -> Column:
-    """What a member holds, as one array of struct(what, key, value, idx); values are JSON."""
+def _entries(folders: DataFrame | None, only: str | None = None) -> Column:
+    """What a member holds (only: of one kind), as one array of struct(what, key, value, idx); values are JSON."""
 
     def of(what: str, array: Column, key, value, when: Column) -> Column:
         rows = F.transform(array, lambda x, i: F.struct(F.lit(what).alias("what"), key(x).alias("key"), value(x).alias("value"), i.cast("bigint").alias("idx")))
@@ -46,16 +46,36 @@ def _entries(folders: DataFrame | None) -> Column:
     text = lambda c: text_or_empty(c)
     note = F.when(text(utrim(F.col("notes"))) != "", F.col("notes"))
     display = F.coalesce(F.col("folder_name"), F.col("folder_id")) if folders is not None else F.col("folder_id")
-    parts = [
-        of("uri", F.col("login.uris"), lambda x: F.when(x.uri.isNotNull(), F.to_json(F.struct(x.uri.alias("u"), x.uri_match.alias("m")))), F.to_json, login),
-        of("history", F.col("password_history"), lambda x: F.when(x.isNotNull(), F.to_json(F.struct(text(x.last_used_date).alias("d"), text(x.password).alias("p")))), F.to_json, login),
-        of("field", F.col("custom_fields"), lambda x: F.when(x.isNotNull(), F.to_json(F.struct(text(x["name"]).alias("n"), text(x.field_value).alias("v"), F.coalesce(x.field_type, F.lit(0)).alias("t"), F.coalesce(x.linked_id, F.lit(-1)).alias("l")))), F.to_json, all_kinds),
-        of("collection", F.col("collection_ids"), lambda x: x, lambda x: x, all_kinds),
-        of("note", one(note), lambda x: utrim(x), lambda x: x, kind.isin(*_NOTE_KINDS)),
-        of("folder", one(F.struct(F.col("folder_id").alias("id"), display.alias("name"))), lambda x: x.id, lambda x: x["name"], all_kinds),
-    ]
+    parts = {
+        "uri": of("uri", F.col("login.uris"), lambda x: F.when(x.uri.isNotNull(), F.to_json(F.struct(x.uri.alias("u"), x.uri_match.alias("m")))), F.to_json, login),
+        "history": of("history", F.col("password_history"), lambda x: F.when(x.isNotNull(), F.to_json(F.struct(text(x.last_used_date).alias("d"), text(x.password).alias("p")))), F.to_json, login),
+        "field": of("field", F.col("custom_fields"), lambda x: F.when(x.isNotNull(), F.to_json(F.struct(text(x["name"]).alias("n"), text(x.field_value).alias("v"), F.coalesce(x.field_type, F.lit(0)).alias("t"), F.coalesce(x.linked_id, F.lit(-1)).alias("l")))), F.to_json, all_kinds),
+        "collection": of("collection", F.col("collection_ids"), lambda x: x, lambda x: x, all_kinds),
+        "note": of("note", one(note), lambda x: utrim(x), lambda x: x, kind.isin(*_NOTE_KINDS)),
+        "folder": of("folder", one(F.struct(F.col("folder_id").alias("id"), display.alias("name"))), lambda x: x.id, lambda x: x["name"], all_kinds),
+    }
     empty = F.expr("cast(array() as array<struct<what:string,key:string,value:string,idx:bigint>>)")
-    return F.concat(*[F.coalesce(p, empty) for p in parts])
+    return F.concat(*[F.coalesce(p, empty) for w, p in parts.items() if only in (None, w)])
+
+
+def _distinct(grouped: DataFrame, found: DataFrame, folders: DataFrame | None = None, only: str | None = None) -> DataFrame:
+    """One row per group and entry: whether the survivor has it, and its first place in rank order.
+    Combined by (group, entry) before the shuffle."""
+    members = grouped.where("kind is not null").join(found.select("grp", "kept_pos"), "grp")
+    if folders is not None:
+        members = members.join(folder_names(folders), "folder_id", "left")
+    held = members.select("grp", "policy", (F.col("pos") == F.col("kept_pos")).alias("own"), F.inline(_entries(folders, only)))
+    place = F.struct("policy", (-F.col("idx")).alias("neg_idx"))
+    return held.groupBy("grp", "what", "key").agg(F.bool_or("own").alias("own"), F.max(place).alias("place"), F.max_by("value", place).alias("value"))
+
+
+def merged_notes(grouped: DataFrame) -> DataFrame:
+    """(kept_pos, n_notes, merged_notes) of every group with notes: all distinct notes in rank order,
+    whatever their number and size. A group whose notes exceed what one value can hold (2 GiB) fails.
+    """
+    found = groups(grouped)
+    notes = _distinct(grouped, found, only="note").groupBy("grp").agg(F.sort_array(F.collect_list(F.struct("place", "value")), asc=False).alias("all"))
+    return found.join(notes, "grp").select("kept_pos", F.size("all").cast("bigint").alias("n_notes"), F.array_join(F.transform("all", lambda x: x.value), merge.SEPARATOR).alias("merged_notes"))
 
 
 def build_patches(grouped: DataFrame, folders: DataFrame | None = None, budget: int = merge.NOTES_BUDGET) -> DataFrame:
@@ -63,29 +83,28 @@ def build_patches(grouped: DataFrame, folders: DataFrame | None = None, budget:
 
     Members meet their group first (unique rows, so a hot group is split by adaptive skew handling, and
     rows without a duplicate go no further), open into one long table of entries and are combined by (group, entry) before the shuffle: whether the
-    survivor has the entry, and its first place in rank order. Only distinct additions are collected.
+    survivor has the entry, and its first place in rank order. Only distinct additions are collected,
+    of the notes as many as the budget can hold (add_note, for fitted_notes); n_notes and note_bytes,
+    the size of all notes joined, are of all of them. For their whole text see merged_notes.
     """
     found = groups(grouped)
-    members = grouped.where("kind is not null").join(found.select("grp", "kept_pos"), "grp")
-    if folders is not None:
-        members = members.join(folder_names(folders), "folder_id", "left")
-    held = members.select("grp", "policy", (F.col("pos") == F.col("kept_pos")).alias("own"), F.inline(_entries(folders)))
-    place = F.struct("policy", (-F.col("idx")).alias("neg_idx"))
-    distinct = held.groupBy("grp", "what", "key").agg(F.bool_or("own").alias("own"), F.max(place).alias("place"), F.max_by("value", place).alias("value"))
+    distinct = _distinct(grouped, found, folders)
     # Each merged note takes a separator and at least one byte, so the first of a rank order hold all that fits the budget.
     fits = budget // (len(merge.SEPARATOR) + 1) + 1
     ranked = distinct.where("what = 'note'").withColumn("rank", F.row_number().over(Window.partitionBy("grp").orderBy(F.col("place").desc())))
-    taken = distinct.where("not own and what <> 'note'").unionByName(ranked.where(F.col("rank") <= fits).drop("rank"))
-    inner = lambda w: F.when(F.col("what") == w, F.struct("place", "value"))
-    gains = taken.groupBy("grp").agg(*[F.transform(F.sort_array(F.collect_list(inner(w)), asc=False), lambda x: x.value).alias(f"{w}_values") for w in ("uri", "history", "field", "collection", "note", "folder")], F.count_if((F.col("what") == "note") & F.col("own")).alias("own_notes"))
+    note = F.col("what") == "note"
+    counted = distinct.where(note | ~F.col("own")).select("grp", "what", "own", "place", F.when(~note, F.col("value")).alias("value"), F.when(note, F.octet_length("value")).alias("bytes"))
+    first = ranked.where(F.col("rank") <= fits).select("grp", F.lit("first").alias("what"), "own", "place", "value", F.lit(None).cast("int").alias("bytes"))
+    inner = lambda w: F.when(F.col("what") == ("first" if w == "note" else w), F.struct("place", "value"))
+    gains = counted.unionByName(first).groupBy("grp").agg(*[F.transform(F.sort_array(F.collect_list(inner(w)), asc=False), lambda x: x.value).alias(f"{w}_values") for w in ("uri", "history", "field", "collection", "note", "folder")], F.count_if(note & F.col("own")).alias("own_notes"), F.count_if(note).alias("all_notes"), F.sum("bytes").alias("bytes"))
     none = F.expr("cast(array() as array<string>)")
-    out = found.join(gains, "grp", "left").select("*", *[F.coalesce(f"{w}_values", none).alias(f"add_{w}") for w in ("uri", "history", "field", "collection", "note", "folder")])
+    out = found.join(gains, "grp", "left").select("*", F.coalesce("all_notes", F.lit(0)).alias("n_notes"), *[F.coalesce(f"{w}_values", none).alias(f"add_{w}") for w in ("uri", "history", "field", "collection", "note", "folder")])
     line = F.when(F.size("add_folder") > 0, F.concat(F.lit("[merged] originally also in folder"), F.when(F.size("add_folder") == 1, "").otherwise("s"), F.lit(": "), F.array_join("add_folder", ", ")))
-    merged = F.when(F.size("add_note") > 0, F.array_join("add_note", merge.SEPARATOR))
-    out = out.withColumn("folder_line", line).withColumn("merged_notes", merged)
+    first_notes = F.when(F.size("add_note") > 0, F.array_join("add_note", merge.SEPARATOR))
+    out = out.withColumn("folder_line", line).withColumn("first_notes", first_notes).withColumn("note_bytes", F.col("bytes") + len(merge.SEPARATOR) * (F.col("n_notes") - 1))
     overhead = F.coalesce(F.octet_length("folder_line") + 1, F.lit(0))
-    many = F.size("add_note") > F.col("own_notes")
-    return out.withColumn("notes_merged", F.coalesce(many, F.lit(False))).withColumn("notes_truncated", F.coalesce(many & (F.octet_length("merged_notes") + overhead > budget), F.lit(False))).withColumn("fitted_notes", F.when(many, merge.fit_notes(F.col("merged_notes"), budget, overhead)).otherwise(F.col("merged_notes"))).drop(*[f"{w}_values" for w in ("uri", "history", "field", "collection", "note", "folder")])
+    many = F.col("n_notes") > F.col("own_notes")
+    return out.withColumn("notes_merged", F.coalesce(many, F.lit(False))).withColumn("notes_truncated", F.coalesce(many & (F.col("note_bytes") + overhead > budget), F.lit(False))).withColumn("fitted_notes", F.when(many, merge.fit_notes(F.col("first_notes"), budget, overhead)).otherwise(F.col("first_notes"))).drop("first_notes", "all_notes", "bytes", *[f"{w}_values" for w in ("uri", "history", "field", "collection", "note", "folder")])
 
 
 def apply_patches(items: DataFrame, patches: DataFrame) -> DataFrame:

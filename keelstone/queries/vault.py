@@ -42,7 +42,7 @@ def item_unions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def merged_notes(spark: SparkSession, d: str) -> DataFrame:
-    return _done(spark, d).patches.where("merged_notes is not null").select("kept_pos", F.size("add_note").cast("bigint").alias("n_notes"), "merged_notes")
+    return dedup.merged_notes(with_groups(_items(spark, d)))
 
 
 def folder_lines(spark: SparkSession, d: str) -> DataFrame:

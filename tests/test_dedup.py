@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from keelstone.operators import dedup, folders, redact, segments
 from keelstone.operators.passes import Config, with_groups
 from keelstone.plans import exports
+from keelstone.queries import vault as vault_queries
 from keelstone.sources import passwords_csv, vault
 
 NOW = "2026-02-03T04:05:06Z"
@@ -138,6 +139,16 @@ def test_only_as_many_notes_as_fit_are_collected(spark):
     assert k.notes.startswith("0\n---\n1\n---\n2\n") and k.notes.endswith("duplicates]") and 6700 < len(k.notes) <= 6800
 
 
+def test_all_notes_are_counted_and_merged(spark, tmp_path):
+    items = table(spark, *[{"name": "n", "login": login(), "notes": str(i % 1500)} for i in range(1600)])
+    items.write.parquet(f"{tmp_path}/ciphers.parquet")
+    spark.createDataFrame([], "id string, name string, pos int").write.parquet(f"{tmp_path}/folders.parquet")
+    want = "\n---\n".join(map(str, range(1500)))
+    assert rows(vault_queries.merged_notes(spark, str(tmp_path)), "n_notes", "merged_notes") == [(1500, want)]
+    p = dedup.build_patches(with_groups(items)).first()
+    assert (p.n_notes, p.note_bytes, p.notes_truncated) == (1500, len(want), True)
+
+
 def test_folders(spark):
     f = spark.createDataFrame([("a", "Main", 0), ("b", " main​", 1), (None, "MAIN", 2), ("c", "other", 3), ("b", "again", 4)], "id string, name string, pos int")
     remap = folders.folder_remap(f)
