@@ -196,6 +196,7 @@ def survivors(ciphers: DataFrame, budget: int = 6_800) -> DataFrame:
     Merged notes are the distinct trimmed notes in policy order, cut to budget bytes at a separator.
     Each takes at least six bytes with its separator, so the first budget / 6 of a group hold all
     that can fit; the limit is applied before the shuffle too, so no group is ever collected whole.
+    n_notes counts all distinct notes of the group, cut or not.
     """
     members = login_members(ciphers)
     chosen = cut(choose_survivors(members))
@@ -204,12 +205,13 @@ def survivors(ciphers: DataFrame, budget: int = 6_800) -> DataFrame:
     distinct = members.where(~is_blank(F.col("notes"))).select("grp", utrim(F.col("notes")).alias("note"), policy.alias("p")).groupBy("grp", "note").agg(F.max(F.struct((-F.col("p.h")).alias("h"), "p.rev", "p.cre", (-F.col("p.pos")).alias("neg_pos"))).alias("p"))
     order = Window.partitionBy("grp").orderBy(F.col("p").desc())
     first = distinct.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= budget // 6 + 1)
-    notes = first.groupBy("grp").agg(F.concat_ws("\n---\n", F.transform(F.sort_array(F.collect_list(F.struct("rank", "note"))), lambda x: x.note)).alias("all_notes"), F.count("*").alias("n_notes"))
+    fitting = first.groupBy("grp").agg(F.concat_ws("\n---\n", F.transform(F.sort_array(F.collect_list(F.struct("rank", "note"))), lambda x: x.note)).alias("first_notes"))
+    notes = fitting.join(distinct.groupBy("grp").agg(F.count("*").alias("n_notes")), "grp")
     base = ciphers.select(F.col("pos").alias("kept_pos"), "id", "login", "password_history", "revision_date", "creation_date", F.col("folder_id").alias("own_folder"))
     other = lambda p, c, a: ciphers.select(F.col("pos").alias(p), c.alias(a))
     out = chosen.join(base, "kept_pos").join(other("name_pos", F.col("name"), "name"), "name_pos").join(other("totp_pos", F.col("login.totp"), "fill_totp"), "totp_pos", "left").join(other("folder_pos", F.col("folder_id"), "fill_folder"), "folder_pos", "left").join(notes, "grp", "left")
     pick = lambda own, fill: F.when(is_blank(own), fill).otherwise(own)
     return out.select(
-        "kept_pos", "id", "n", "n_undominated", "n_layers", "name", F.col("login.username").alias("username"), fit_notes(F.col("all_notes"), budget).alias("notes"), pick(F.col("login.totp"), F.col("fill_totp")).alias("totp"),
+        "kept_pos", "id", "n", "n_undominated", "n_layers", "name", F.col("login.username").alias("username"), fit_notes(F.col("first_notes"), budget).alias("notes"), pick(F.col("login.totp"), F.col("fill_totp")).alias("totp"),
         pick(F.col("own_folder"), F.col("fill_folder")).alias("folder_id"), "password_history", "revision_date", "creation_date", "name_pos", "notes_pos", F.coalesce("n_notes", F.lit(0)).alias("n_notes"),
     )

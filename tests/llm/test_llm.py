@@ -82,6 +82,11 @@ def test_survivor_records(spark):
     assert survivors.found(items.limit(0)).count() == 0 and survivors.survivors(items.limit(0)).count() == 0
 
 
+def test_notes_beyond_the_budget_are_counted(spark):
+    r = survivors.survivors(table(spark, *[{"name": "n", "login": login(), "notes": str(i % 1500)} for i in range(1600)])).first()
+    assert r.n == 1600 and r.n_notes == 1500 and len(r.notes.encode()) <= 6800
+
+
 # --- formatting
 
 
