@@ -6,12 +6,13 @@ another is at least as good everywhere; between records equal in history and bot
 one with the smaller position can dominate. The lexicographic policy (history, revision, creation,
 position) picks the survivor among the undominated ones. Its empty fields are filled from
 successive dominance layers: from the first layer that has a value, and in it from the record that
-the policy ranks first. Notes and name length are dimensions of the skyline, because their source is
+the policy ranks first; layers are numbered exactly, however many there are. Notes and name length are dimensions of the skyline, because their source is
 fixed by the policy alone: so it always lies in the first layer.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,14 +26,17 @@ from ..operators.merge import fit_notes
 from ..session import cut
 
 FILLED = ("notes",)
-#: Fields that are filled from successive layers, and how many layers are told apart; what lies below is one last layer.
-LAYERED = ("totp", "folder")
-DEPTH = 3
+#: Fields that are filled from successive layers.
+LAYERED = ("totp", "folder", "uris", "custom_fields", "collection_ids", "password_revision_date")
 _POINT = pa.schema([("grp", pa.binary()), ("pos", pa.int64()), ("hist", pa.int64()), ("rev", pa.string()), ("cre", pa.string()), *((f"has_{f}", pa.bool_()) for f in FILLED), ("name_len", pa.int64()), ("n", pa.int64())])
 _POINT_DDL = "grp binary, pos bigint, hist bigint, rev string, cre string, " + ", ".join(f"has_{f} boolean" for f in FILLED) + ", name_len bigint, n bigint"
 _CHOICE_DDL = "grp binary, n bigint, n_undominated bigint, kept_pos bigint, name_pos bigint, " + ", ".join(f"{f}_pos bigint" for f in FILLED)
 _CHOICE = pa.schema([("grp", pa.binary()), ("n", pa.int64()), ("n_undominated", pa.int64()), ("kept_pos", pa.int64()), ("name_pos", pa.int64()), *((f"{f}_pos", pa.int64()) for f in FILLED)])
 
+_LAYER_DDL = "grp binary, pos bigint, layer int"
+_FILL_DDL = "grp binary, n_layers int, " + ", ".join(f"{f}_pos bigint" for f in LAYERED)
+_FILL = pa.schema([("grp", pa.binary()), ("n_layers", pa.int32()), *((f"{f}_pos", pa.int64()) for f in LAYERED)])
+
 
 def undominated(points: np.ndarray, group: np.ndarray, near: int = 8) -> np.ndarray:
     """Which rows of points (larger is better) no other row of their group dominates. Rows lie by
@@ -146,9 +150,9 @@ def _history() -> Column:
     return F.greatest(F.coalesce(F.size("password_history"), F.lit(0)), F.lit(0)).cast("bigint")
 
 
-def _points(members: DataFrame) -> DataFrame:
+def _points(members: DataFrame, *more: Column) -> DataFrame:
     has: dict[str, Column] = {"notes": F.col("notes")}
-    return members.select("grp", F.col("pos").cast("bigint").alias("pos"), _history().alias("hist"), text_or_empty(F.col("revision_date")).alias("rev"), text_or_empty(F.col("creation_date")).alias("cre"), *[(~is_blank(has[f])).alias(f"has_{f}") for f in FILLED], F.length(text_or_empty(F.col("name"))).cast("bigint").alias("name_len"), F.lit(1).cast("bigint").alias("n"))
+    return members.select("grp", F.col("pos").cast("bigint").alias("pos"), _history().alias("hist"), text_or_empty(F.col("revision_date")).alias("rev"), text_or_empty(F.col("creation_date")).alias("cre"), *[(~is_blank(has[f])).alias(f"has_{f}") for f in FILLED], F.length(text_or_empty(F.col("name"))).cast("bigint").alias("name_len"), F.lit(1).cast("bigint").alias("n"), *more)
 
 
 def choose_survivors(members: DataFrame, rows_at_once: int = 100_000) -> DataFrame:
@@ -158,28 +162,154 @@ def choose_survivors(members: DataFrame, rows_at_once: int = 100_000) -> DataFra
     return _skylines(_points(members), _choose, _CHOICE_DDL, rows_at_once)
 
 
-def dominance_layers(members: DataFrame, depth: int = DEPTH, rows_at_once: int = 100_000) -> DataFrame:
+class Layers:
+    """Layer numbers of the points of one group, which come in the order of the policy.
+
+    Only an earlier point dominates, and a point lies one layer below the lowest that does. A layer
+    holds, for each kind (notes, name length), the stairs of its (revision, creation): what a later point
+    of the layer covers is dropped, and equal points share one object. If a layer has no point that
+    dominates, no lower one has, so the first such layer is found by bisection.
+    """
+
+    def __init__(self) -> None:
+        self.stairs: dict[tuple, list] = {}  # kind -> layer -> None, one point or ([rev], [cre]), rev rising and cre falling
+        self.top = 0
+        self.last = ("", "")
+
+    @staticmethod
+    def _dominated(layer: int, rev: str, cre: str, above: list[list]) -> bool:
+        for stairs in above:
+            s = stairs[layer] if layer < len(stairs) else None
+            if type(s) is tuple:
+                if s[0] >= rev and s[1] >= cre:
+                    return True
+            elif s is not None:
+                i = bisect_left(s[0], rev)
+                if i < len(s[0]) and s[1][i] >= cre:
+                    return True
+        return False
+
+    def add(self, kind: tuple, rev: str, cre: str) -> int:
+        """The layer of the next point, from 1."""
+        above = [s for k, s in self.stairs.items() if all(x >= y for x, y in zip(k, kind, strict=True))]
+        lo, hi = 0, self.top
+        if hi and self._dominated(hi - 1, rev, cre, above):
+            lo = hi
+        while lo < hi:
+            mid = (lo + hi) // 2
+            if self._dominated(mid, rev, cre, above):
+                lo = mid + 1
+            else:
+                hi = mid
+        self.top = max(self.top, lo + 1)
+        if self.last != (rev, cre):
+            self.last = (rev, cre)
+        mine = self.stairs.setdefault(kind, [])
+        mine.extend([None] * (lo + 1 - len(mine)))
+        s = mine[lo]
+        if s is None or type(s) is tuple and rev >= s[0] and cre >= s[1]:
+            mine[lo] = self.last
+            return lo + 1
+        revs, cres = s if type(s) is list else ([s[0]], [s[1]])
+        end = bisect_left(revs, rev)
+        start = end
+        while start and cres[start - 1] <= cre:
+            start -= 1
+        end += end < len(revs) and revs[end] == rev
+        revs[start:end], cres[start:end] = [rev], [cre]
+        mine[lo] = [revs, cres]
+        return lo + 1
+
+
+def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Batches sorted by group and policy, with the layer of each row and whether it starts a group."""
+    state, open_grp = Layers(), None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        grp = b.column("grp")
+        starts = np.ones(b.num_rows, bool)
+        starts[0] = grp[0].as_py() != open_grp
+        starts[1:] = pc.not_equal(grp.slice(1), grp.slice(0, b.num_rows - 1)).to_numpy(zero_copy_only=False)
+        open_grp = grp[b.num_rows - 1].as_py()
+        layers = np.ones(b.num_rows, np.int32)
+        alone = np.append(starts[1:], False) & starts  # of the last row's group more may come
+        at = np.flatnonzero(~alone)
+        some = b.take(pa.array(at))
+        kinds = zip(*(some.column(c).to_pylist() for c in (*(f"has_{f}" for f in FILLED), "name_len")), strict=True)
+        for i, kind, rev, cre in zip(at.tolist(), kinds, some.column("rev").to_pylist(), some.column("cre").to_pylist(), strict=True):
+            if starts[i]:
+                state = Layers()
+            layers[i] = state.add(kind, rev, cre)
+        yield b, layers, starts
+
+
+def _layer_rows(depth: int | None, rows: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, layers, _ in _sweep(batches):
+            shown = layers if depth is None else np.minimum(layers, depth + 1)
+            t = pa.Table.from_arrays([b.column("grp"), b.column("pos"), pa.array(shown, pa.int32())], names=["grp", "pos", "layer"])
+            yield from t.to_batches(rows)
+
+    return run
+
+
+def _fills(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per group of two or more; of one group only the best places so far are held."""
+    grp, n, top = None, 0, 0
+    best: list[tuple[int, int] | None] = [None] * len(LAYERED)
+    for b, layers, starts in _sweep(batches):
+        out: list[tuple] = []
+        grps, pos, ls, firsts = b.column("grp"), b.column("pos").to_pylist(), layers.tolist(), starts.tolist()
+        has = list(zip(*(b.column(f"has_{f}").to_pylist() for f in LAYERED), strict=True))
+        for i, layer in enumerate(ls):
+            if firsts[i]:
+                if n > 1:
+                    out.append((grp, top, *(x and x[1] for x in best)))
+                grp, n, top, best = grps[i].as_py(), 0, 0, [None] * len(LAYERED)
+            n += 1
+            top = max(top, layer)
+            for k, h in enumerate(has[i]):
+                if h and (best[k] is None or layer < best[k][0]):  # of one layer the first by the policy stays
+                    best[k] = (layer, pos[i])
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _FILL, strict=True)], schema=_FILL)
+    if n > 1:
+        yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((grp, top, *(x and x[1] for x in best)), _FILL, strict=True)], schema=_FILL)
+
+
+def _by_policy(points: DataFrame) -> DataFrame:
+    order = ["grp", F.desc("hist"), F.desc("rev"), F.desc("cre"), "pos"]
+    return points.repartition("grp").sortWithinPartitions(*order)
+
+
+def dominance_layers(members: DataFrame, depth: int | None = None, rows_at_once: int = 100_000) -> DataFrame:
     """(grp, pos, layer) of every member: layer 1 is the skyline, layer 2 the skyline of the rest, and so
-    on to depth; what lies below has layer depth + 1. The narrow points are peeled in the shared
-    folder, a layer at a time; no group is ever held whole."""
-    rest = cut(_points(members))
-    out = rest.select("grp", "pos").withColumn("layer", F.lit(0)).limit(0)
-    for layer in range(1, depth + 1):
-        top = cut(_skylines(rest, lambda t: t, _POINT_DDL, rows_at_once).select("grp", "pos"))
-        out = out.unionByName(top.withColumn("layer", F.lit(layer)))
-        rest = cut(rest.join(top, ["grp", "pos"], "left_anti"))
-    return out.unionByName(rest.select("grp", "pos").withColumn("layer", F.lit(depth + 1)))
-
-
-def fill_sources(members: DataFrame, chosen: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(grp, totp_pos, folder_pos, n_layers) of the chosen groups: where the policy finds each layered field
-    first, layer by layer; null if no member has it. Combined before the shuffle."""
-    several = members.join(chosen.select("grp"), "grp", "left_semi")
-    has = {"totp": F.col("login.totp"), "folder": F.col("folder_id")}
-    facts = several.select("grp", "pos", _history().alias("h"), text_or_empty(F.col("revision_date")).alias("rev"), text_or_empty(F.col("creation_date")).alias("cre"), *[(~is_blank(has[f])).alias(f"has_{f}") for f in LAYERED])
-    placed = facts.join(dominance_layers(several, depth), ["grp", "pos"])
-    order = F.struct((-F.col("layer")).alias("l"), "h", "rev", "cre", (-F.col("pos")).alias("p"))
-    return placed.groupBy("grp").agg(*[F.max_by(F.when(F.col(f"has_{f}"), F.col("pos")), F.when(F.col(f"has_{f}"), order)).alias(f"{f}_pos") for f in LAYERED], F.max("layer").alias("n_layers"))
+    on to the last; with a depth, what lies below it has layer depth + 1. One shuffle of narrow rows,
+    swept as a stream in batches of rows_at_once; of the open group the distinct points are held."""
+    return _by_policy(_points(members)).mapInArrow(_layer_rows(depth, rows_at_once), _LAYER_DDL)
+
+
+def _held() -> dict[str, tuple[Column, Column]]:
+    """Value and presence of each layered field."""
+    text = {"totp": F.col("login.totp"), "folder": F.col("folder_id"), "password_revision_date": F.col("login.password_revision_date")}
+    lists = {"uris": F.col("login.uris"), "custom_fields": F.col("custom_fields"), "collection_ids": F.col("collection_ids")}
+    return {f: (text[f], ~is_blank(text[f])) if f in text else (lists[f], F.coalesce(F.size(lists[f]) > 0, F.lit(False))) for f in LAYERED}
+
+
+def fill_sources(members: DataFrame) -> DataFrame:
+    """(grp, n_layers, and <field>_pos of each layered field) of the groups of two or more: where the policy
+    finds the field first, layer by layer; null if no member has it."""
+    points = _points(members, *[has.alias(f"has_{f}") for f, (_, has) in _held().items()])
+    return _by_policy(points).mapInArrow(_fills, _FILL_DDL)
+
+
+def _taken(ciphers: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(kept_pos, name and fill_<field>): the values at the places chosen, met in one join."""
+    values = {"name": F.col("name")} | {f: v for f, (v, _) in _held().items()}
+    places = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"{f}_pos").alias("pos")) for f in values])
+    met = chosen.select("kept_pos", F.inline(places)).where("pos is not null").join(ciphers.select("pos", *[v.alias(f"v_{f}") for f, v in values.items()]), "pos")
+    return met.groupBy("kept_pos").agg(*[F.first(F.when(F.col("field") == f, F.col(f"v_{f}")), ignorenulls=True).alias("name" if f == "name" else f"fill_{f}") for f in values])
 
 
 def found(ciphers: DataFrame) -> DataFrame:
@@ -190,8 +320,9 @@ def found(ciphers: DataFrame) -> DataFrame:
 
 
 def survivors(ciphers: DataFrame, budget: int = 6_800) -> DataFrame:
-    """The surviving record of each group: longest name, merged notes, fullest history, and TOTP and
-    folder filled from successive dominance layers where the survivor has none.
+    """The surviving record of each group: longest name, merged notes, fullest history, and TOTP, folder,
+    URIs, custom fields, collections and password revision filled from successive dominance layers
+    where the survivor has none (null, blank or an empty list).
 
     Merged notes are the distinct trimmed notes in policy order, cut to budget bytes at a separator.
     Each takes at least six bytes with its separator, so the first budget / 6 of a group hold all
@@ -200,18 +331,19 @@ def survivors(ciphers: DataFrame, budget: int = 6_800) -> DataFrame:
     """
     members = login_members(ciphers)
     chosen = cut(choose_survivors(members))
-    chosen = chosen.join(fill_sources(members, chosen), "grp")
+    chosen = cut(chosen.join(fill_sources(members), "grp"))
     policy = F.struct((-_history()).alias("h"), text_or_empty(F.col("revision_date")).alias("rev"), text_or_empty(F.col("creation_date")).alias("cre"), "pos")
     distinct = members.where(~is_blank(F.col("notes"))).select("grp", utrim(F.col("notes")).alias("note"), policy.alias("p")).groupBy("grp", "note").agg(F.max(F.struct((-F.col("p.h")).alias("h"), "p.rev", "p.cre", (-F.col("p.pos")).alias("neg_pos"))).alias("p"))
     order = Window.partitionBy("grp").orderBy(F.col("p").desc())
     first = distinct.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= budget // 6 + 1)
     fitting = first.groupBy("grp").agg(F.concat_ws("\n---\n", F.transform(F.sort_array(F.collect_list(F.struct("rank", "note"))), lambda x: x.note)).alias("first_notes"))
     notes = fitting.join(distinct.groupBy("grp").agg(F.count("*").alias("n_notes")), "grp")
-    base = ciphers.select(F.col("pos").alias("kept_pos"), "id", "login", "password_history", "revision_date", "creation_date", F.col("folder_id").alias("own_folder"))
-    other = lambda p, c, a: ciphers.select(F.col("pos").alias(p), c.alias(a))
-    out = chosen.join(base, "kept_pos").join(other("name_pos", F.col("name"), "name"), "name_pos").join(other("totp_pos", F.col("login.totp"), "fill_totp"), "totp_pos", "left").join(other("folder_pos", F.col("folder_id"), "fill_folder"), "folder_pos", "left").join(notes, "grp", "left")
+    base = ciphers.select(F.col("pos").alias("kept_pos"), "id", "login", "password_history", "revision_date", "creation_date", F.col("folder_id").alias("own_folder"), F.col("custom_fields").alias("own_fields"), F.col("collection_ids").alias("own_collections"))
+    out = chosen.join(base, "kept_pos").join(_taken(ciphers, chosen), "kept_pos").join(notes, "grp", "left")
     pick = lambda own, fill: F.when(is_blank(own), fill).otherwise(own)
+    filled = lambda own, fill: F.when(F.size(own) > 0, own).otherwise(F.coalesce(fill, own))
     return out.select(
         "kept_pos", "id", "n", "n_undominated", "n_layers", "name", F.col("login.username").alias("username"), fit_notes(F.col("first_notes"), budget).alias("notes"), pick(F.col("login.totp"), F.col("fill_totp")).alias("totp"),
         pick(F.col("own_folder"), F.col("fill_folder")).alias("folder_id"), "password_history", "revision_date", "creation_date", "name_pos", "notes_pos", F.coalesce("n_notes", F.lit(0)).alias("n_notes"),
+        filled(F.col("login.uris"), F.col("fill_uris")).alias("uris"), filled(F.col("own_fields"), F.col("fill_custom_fields")).alias("custom_fields"), filled(F.col("own_collections"), F.col("fill_collection_ids")).alias("collection_ids"), pick(F.col("login.password_revision_date"), F.col("fill_password_revision_date")).alias("password_revision_date"),
     )

@@ -87,6 +87,30 @@ def test_notes_beyond_the_budget_are_counted(spark):
     assert r.n == 1600 and r.n_notes == 1500 and len(r.notes.encode()) <= 6800
 
 
+def test_layers_are_exact():
+    rnd = random.Random(5)
+    points = sorted(((rnd.randint(0, 3), rnd.choice("abcde"), rnd.choice("abcde"), rnd.random() < 0.4, rnd.randint(1, 4)) for _ in range(400)), key=lambda p: p[:3], reverse=True)
+    state, want = survivors.Layers(), []
+    for i, p in enumerate(points):
+        want.append(1 + max((n for q, n in zip(points[:i], want, strict=True) if all(a >= b for a, b in zip(q, p, strict=True))), default=0))
+        assert state.add(p[3:], p[1], p[2]) == want[-1]
+    assert max(want) > 10
+
+
+def test_nulls_are_filled_from_below_the_third_layer(spark):
+    own = lambda i, **k: {"name": "n", "login": login("u"), "revision_date": str(9 - i), "creation_date": str(9 - i)} | k
+    held = {"collection_ids": ["c5"], "custom_fields": [{"name": "f", "field_value": "5", "field_type": 0, "linked_id": None}], "login": login("u", uris=[("https://5.test", None)]) | {"password_revision_date": "d5"}}
+    items = table(spark, *[own(i) for i in range(4)], own(4, folder_id="f4"), own(5, **held), own(6, folder_id="f6", collection_ids=["c6"]))
+    r = survivors.survivors(items).first()
+    assert (r.kept_pos, r.n_layers, r.folder_id, r.collection_ids, r.custom_fields[0].field_value, r.uris[0].uri, r.password_revision_date) == (0, 7, "f4", ["c5"], "5", "https://5.test", "d5")
+    # Layer 5 by a chain of later creations, with a longer history than layer 4.
+    h = lambda n: [{"password": "x", "last_used_date": None}] * n
+    chain = [own(0, revision_date="9", creation_date=c, password_history=h(3)) for c in "9876"] + [own(0, revision_date="9", creation_date="5", password_history=h(2), folder_id="layer 5")]
+    low = [own(0, revision_date="8", creation_date="7", password_history=h(1), folder_id="layer 4")]
+    r = survivors.survivors(table(spark, *chain, *low)).first()
+    assert (r.n_layers, r.folder_id) == (5, "layer 4")
+
+
 # --- formatting
 
 
