@@ -4,7 +4,7 @@ Sizes are counted where the texts are read. Each input partition packs its own t
 decreasing; containers that come out full are closed, the others are opened again, and their texts
 alone travel, in blocks of bounded size, to a swap-based local search: documents are moved, exchanged
 one for one, or two for one between underfull containers whenever that raises the sum of squared
-fills, until the emptiest containers are empty or the lower bound is met.
+fills, until no such step is left or the lower bound is met.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ import base64
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
@@ -54,61 +55,120 @@ def best_fit_decreasing(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def _moves(a: int, bins: list[list[int]], fill: list[int], sizes: list[int], capacity: int, others: list[int]) -> bool:
-    """One improving step that takes load out of container a, if there is one."""
-    mine = sorted(bins[a], key=lambda i: -sizes[i])
-    for i in mine:  # move
-        fits = [b for b in others if b != a and sizes[i] <= capacity - fill[b] and fill[b] + sizes[i] > fill[a]]
-        if fits:
-            _transfer(a, max(fits, key=lambda b: fill[b]), (i,), (), bins, fill, sizes)
-            return True
-    best: tuple[int, int, tuple[int, ...], int] | None = None
-    groups = [(i,) for i in mine] + [(i, j) for k, i in enumerate(mine[:40]) for j in mine[k + 1 : 40]]
-    for group in groups:  # one for one, two for one
-        s = sum(sizes[i] for i in group)
-        for b in others:
-            free = capacity - fill[b]
-            if b == a or not free:
-                continue
-            for j in bins[b]:
-                d = s - sizes[j]
-                if 0 < d <= free and fill[b] + d > fill[a]:
-                    gain = d * (fill[b] + d - fill[a])
-                    if best is None or gain > best[0]:
-                        best = (gain, b, group, j)
-    if best is None:
-        return False
-    _transfer(a, best[1], best[2], (best[3],), bins, fill, sizes)
-    return True
-
-
-def _transfer(a: int, b: int, out: tuple[int, ...], back: tuple[int, ...], bins: list[list[int]], fill: list[int], sizes: list[int]) -> None:
-    bins[a] = [i for i in bins[a] if i not in out] + list(back)
-    bins[b] = [i for i in bins[b] if i not in back] + list(out)
-    d = sum(sizes[i] for i in out) - sum(sizes[i] for i in back)
-    fill[a] -= d
-    fill[b] += d
-
-
-def local_search(bins: list[list[int]], sizes: list[int], capacity: int, effort: int = 400) -> list[list[int]]:
+class _Open:
+    """The containers with room, by free room and by the sizes of the texts they hold.
+
+    least[t, d] is the least room of at least d in a container that holds a text of the t-th size (row
+    0: in any container), so the best partner for a step is one look for each pair of sizes. It has
+    sizes x capacity places.
+    """
+
+    def __init__(self, bins: list[list[int]], sizes: list[int], capacity: int) -> None:
+        self.bins, self.sizes, self.capacity = bins, sizes, capacity
+        self.fill = [sum(sizes[i] for i in b) for b in bins]
+        held = {b for b in range(len(bins)) if bins[b] and self.fill[b] < capacity}
+        self.kinds = np.array(sorted({sizes[i] for b in held for i in bins[b]} | {0}), np.int64)
+        self.row = {int(t): k for k, t in enumerate(self.kinds)}
+        self.none = 2 * capacity + 1
+        self.count = np.zeros((len(self.kinds), capacity + 1), np.int32)
+        self.least = np.full(self.count.shape, self.none, np.int32)
+        self.rooms = np.arange(capacity + 1, dtype=np.int32)
+        self.holders: dict[tuple[int, int], set[int]] = {}
+        for b in held:
+            self._put(b)
+        self._refresh(np.arange(len(self.kinds)))
+
+    def _rows(self, b: int) -> list[int]:
+        return sorted({self.row[self.sizes[i]] for i in self.bins[b]} | {0})
+
+    def _refresh(self, rows) -> None:
+        here = np.where(self.count[rows] > 0, self.rooms, self.none)
+        self.least[rows] = np.minimum.accumulate(here[:, ::-1], axis=1)[:, ::-1]
+
+    def _put(self, b: int) -> list[int]:
+        free = self.capacity - self.fill[b]
+        if not free or not self.bins[b]:
+            return []
+        rows = self._rows(b)
+        self.count[rows, free] += 1
+        for r in rows:
+            self.holders.setdefault((r, free), set()).add(b)
+        return rows
+
+    def _take(self, b: int) -> list[int]:
+        free = self.capacity - self.fill[b]
+        rows = self._rows(b)
+        self.count[rows, free] -= 1
+        for r in rows:
+            self.holders[r, free].remove(b)
+        return rows
+
+    def step(self, a: int) -> bool:
+        """The best step that takes load out of a, if there is one: a move of the largest text that fits
+        elsewhere, otherwise the exchange that gains most."""
+        rows = self._take(a)
+        self._refresh(rows)
+        found = self._best(a)
+        if found:
+            b, out, back = found
+            rows += self._take(b)
+            self.bins[a] = [i for i in self.bins[a] if i not in out] + back
+            self.bins[b] = [i for i in self.bins[b] if i not in back] + out
+            d = sum(self.sizes[i] for i in out) - sum(self.sizes[i] for i in back)
+            self.fill[a] -= d
+            self.fill[b] += d
+            if not self.fill[a]:  # texts of 0 tokens go along
+                self.bins[b] += self.bins[a]
+                self.bins[a] = []
+            rows += self._put(b)
+        self._refresh(sorted({*rows, *self._put(a)}))
+        return found is not None
+
+    def _best(self, a: int) -> tuple[int, list[int], list[int]] | None:
+        one = {self.sizes[i]: [i] for i in sorted(self.bins[a], key=lambda i: (-self.sizes[i], i)) if self.sizes[i]}
+        for s, out in one.items():  # move
+            free = int(self.least[0, s])
+            if free < self.none and self.capacity - free + s > self.fill[a]:
+                return min(self.holders[0, free]), out, []
+        mine = sorted((i for i in self.bins[a] if self.sizes[i]), key=lambda i: (-self.sizes[i], i))
+        groups = dict(one)
+        for k, i in enumerate(mine):
+            for j in mine[k + 1 :]:
+                groups.setdefault(self.sizes[i] + self.sizes[j], [i, j])
+        sums = np.array(list(groups), np.int64)
+        best = (0, 0, 0, 0)
+        kinds = np.arange(1, len(self.kinds))
+        for lo in range(0, len(sums), 256):  # one for one, two for one
+            d = sums[lo : lo + 256, None] - self.kinds[None, 1:]
+            free = np.where((d > 0) & (d <= self.capacity), self.least[kinds[None, :], np.clip(d, 0, self.capacity)], self.none)
+            gain = np.where(free < self.none, d * (self.capacity - free + d - self.fill[a]), 0)
+            if gain.size and gain.max() > best[0]:
+                g, k = divmod(int(gain.argmax()), gain.shape[1])
+                best = (int(gain.max()), int(sums[lo + g]), k + 1, int(free[g, k]))
+        gain, s, kind, free = best
+        if not gain:
+            return None
+        b = min(self.holders[kind, free])
+        return b, groups[s], [next(i for i in self.bins[b] if self.sizes[i] == self.kinds[kind])]
+
+
+def local_search(bins: list[list[int]], sizes: list[int], capacity: int) -> list[list[int]]:
     """Raise the sum of squared fills until a container is empty, again and again. The emptiest is
-    attacked first; one without a gain waits until another step has changed something. Ends at the
-    lower bound, where the room elsewhere cannot hold the emptiest, without a gain, or after effort
-    steps (which bounds the time of the search, never what is placed)."""
+    attacked first, as long as it has a step; every open container is a partner and every pair of
+    texts a candidate. Ends at the lower bound, or after a round in which no container had a step.
+    Every step raises the sum by at least 2, so that it ends."""
     bins = [list(b) for b in bins]
-    fill = [sum(sizes[i] for i in b) for b in bins]
+    state = _Open(bins, sizes, capacity)
+    fill = state.fill
     least = -(-sum(fill) // capacity)
-    stuck: set[int] = set()
-    for _ in range(effort):
-        under = sorted((b for b in range(len(bins)) if bins[b] and fill[b] < capacity), key=lambda b: (fill[b], b))
-        a = next((b for b in under if b not in stuck), None)
-        if sum(map(bool, bins)) <= least or a is None or sum(capacity - fill[b] for b in under if b != under[0]) < fill[under[0]]:
-            break
-        # The emptiest containers gain least from another's load, so the fullest of the open ones come first.
-        if _moves(a, bins, fill, sizes, capacity, under[::-1][:400]):
-            stuck.clear()
-        else:
-            stuck.add(a)
+    used = sum(map(bool, bins))
+    changed = True
+    while changed and used > least:
+        changed = False
+        for a in sorted((b for b in range(len(bins)) if bins[b] and fill[b] < capacity), key=lambda b: (fill[b], b)):
+            while used > least and bins[a] and fill[a] < capacity and state.step(a):
+                changed = True
+                used -= not bins[a]
     return [b for b in bins if b]
 
 

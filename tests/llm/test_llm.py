@@ -208,6 +208,22 @@ def test_local_search_empties_containers():
     assert len(packing.local_search([[0, 1], [2]], [60, 40, 10], 100)) == 2
 
 
+def test_search_leaves_no_step():
+    rnd = random.Random(1)
+    for lo, hi, n, most in ((900, 1150, 2000, 1044), (400, 1400, 2000, 892)):  # with the caps: 1,044 and 894
+        sizes = [rnd.randint(lo, hi) for _ in range(n)]
+        bins = packing.pack(sizes, 2048)
+        fills = [sum(sizes[i] for i in b) for b in bins]
+        assert sorted(i for b in bins for i in b) == list(range(n)) and max(fills) <= 2048 and len(bins) <= most
+        if len(bins) > -(-sum(sizes) // 2048):
+            for a in sorted(range(len(bins)), key=fills.__getitem__)[:60]:  # by brute force, against all others
+                sums = {sizes[i] for i in bins[a]} | {sizes[i] + sizes[j] for i, j in combinations(bins[a], 2)}
+                for b in range(len(bins)):
+                    if b != a and fills[b] < 2048 and fills[a] < 2048:
+                        steps = [sizes[i] for i in bins[a]] + [s - sizes[j] for s in sums for j in bins[b]]
+                        assert not any(0 < d <= 2048 - fills[b] and fills[b] + d > fills[a] for d in steps)
+
+
 def test_containers(spark):
     try:
         count = packing.load_tokenizer().encode_ordinary
