@@ -143,10 +143,13 @@ def _fragments(lines: list[str]) -> bool:
     return not _wraps([x.rstrip() for x in lines])
 
 
-def structure(text: str, common: dict[str, frozenset[str]]) -> tuple[str, str, float]:
-    """(class, nearest profile, divergence) of a text; class is prose, list, table or junk."""
+def structure(text: str, common: dict[str, frozenset[str]]) -> tuple[str, str | None, float | None]:
+    """(class, nearest profile, divergence) of a text; class is prose, list, table or junk. Profile and
+    divergence are those of its running text: None without any, so for a mere list or table; a text
+    next to empty has the profile "empty" and no divergence."""
     mass: Counter[str] = Counter()
-    best, distance = "", 0.0
+    best: str | None = None
+    distance: float | None = None
     runs: list[list[str]] = []
     kind_before = ""
     for line in text.split("\n"):
@@ -181,7 +184,7 @@ def structure(text: str, common: dict[str, frozenset[str]]) -> tuple[str, str, f
         mass["prose" if best.startswith("prose") else "junk"] += len(running) - running.count(" ") - running.count("\n")
     total = sum(mass.values())
     if sum(map(str.isalnum, text[:4_000])) < LEAST_CHARS and sum(map(str.isalnum, text)) < LEAST_CHARS:
-        return "junk", "empty", 0.0
+        return "junk", "empty", None
     if mass["prose"] * 2 >= total:
         return "prose", best, distance
     del mass["prose"]
@@ -209,8 +212,8 @@ def common_word_sets(common_words: DataFrame) -> dict[str, frozenset[str]]:
     return {lang: frozenset(r.word.lower() for r in rows if r.lang == lang) for lang in langs}
 
 
-def text_quality(documents: DataFrame, common_words: DataFrame, key: str = "doc_id", text: str = "text", counts: bool = True) -> DataFrame:
-    """One row per document: counts, doc_class, nearest_profile and its divergence.
+def text_quality(documents: DataFrame, common_words: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document: counts, doc_class, nearest_profile and its divergence (see structure).
 
     One narrow pass over whole texts, no shuffle. Null texts count as empty, which is junk; repeated
     rows give repeated rows; without common words a text can still be told from symbols and cells.
@@ -218,16 +221,15 @@ def text_quality(documents: DataFrame, common_words: DataFrame, key: str = "doc_
     common = common_word_sets(common_words)
     every = frozenset().union(*common.values())
     key_type = documents.schema[key].dataType.simpleString()
-    stats = _STATS if counts else _STATS[-3:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(*(_counts(t, every) if counts else ()), *structure(t, common)) for t in (x or "" for x in batch.column(1).to_pylist())]
+            rows = [(*_counts(t, every), *structure(t, common)) for t in (x or "" for x in batch.column(1).to_pylist())]
             if rows:
-                arrays = [pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), stats, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=[key, *(n for n, _ in stats)])
+                arrays = [pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), _STATS, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=[key, *(n for n, _ in _STATS)])
 
-    ddl = ", ".join(f"{n} {'bigint' if t == pa.int64() else 'string' if t == pa.string() else 'double'}" for n, t in stats)
+    ddl = ", ".join(f"{n} {'bigint' if t == pa.int64() else 'string' if t == pa.string() else 'double'}" for n, t in _STATS)
     return documents.select(key, text).mapInArrow(run, f"{key} {key_type}, {ddl}")
 
 

@@ -48,7 +48,7 @@ def p6_sets(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return quality.not_prose(quality.text_quality(table(spark, d, "documents"), table(spark, d, "common_words"), counts=False))
+    return quality.not_prose(quality.text_quality(table(spark, d, "documents"), table(spark, d, "common_words")))
 
 
 def p10_stats(spark: SparkSession, d: str) -> DataFrame:

@@ -12,6 +12,7 @@ from hypothesis import strategies as st
 from items import login, table
 
 from keelstone.llm import formatting, leakage, packing, personal, quality, survivors
+from keelstone.llm import queries as llm_queries
 
 # --- survivors
 
@@ -345,3 +346,13 @@ def test_quality_rows(spark):
     assert rows(quality.shares(q)) == [(1, 1, 50_000.0, 0.0, 0.0, 0.0), (1, 4, 3.0, 1 / 16, 0.5, 0.25), (2, 0, 0.0, 0.0, 0.0, 0.0), (3, 0, 0.0, 0.0, 0.0, 0.0)]
     assert {r[0] for r in rows(quality.not_prose(q))} >= {2, 3}
     assert quality.text_quality(docs.limit(0), common.limit(0)).count() == 0
+
+
+def test_quality_is_whole_and_divergence_only_of_running_text(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "- apples and pears\n- bread and butter\n- salt and pepper"), (2, None), (3, "This is the end of the day and it was a good one for all of us.")], "doc_id bigint, text string")
+    common = spark.createDataFrame([("en", w) for w in ("this", "is", "the", "and", "of", "it", "a", "for")], "lang string, word string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    common.write.parquet(f"{tmp_path}/common_words.parquet")
+    assert "n_common" in llm_queries.p10_found(spark, str(tmp_path))._jdf.queryExecution().analyzed().toString()
+    got = {r.doc_id: (r.doc_class, r.nearest_profile, r.divergence is None) for r in quality.text_quality(docs, common).collect()}
+    assert got == {1: ("list", None, True), 2: ("junk", "empty", True), 3: ("prose", "prose:en", False)}
