@@ -80,16 +80,34 @@ class TreeAutomaton:
         return state == kind
 
 
+class _Repeated(dict):
+    """An object with a key that comes more than once: earlier holds its values but the last, by key."""
+
+    earlier: dict[str, list]
+
+
 def _lower_keys(pairs: list[tuple[str, Any]]) -> dict[str, Any]:
-    """Keys count without regard to case; of two spellings of a key the last that is not null holds."""
+    """Keys count without regard to case; of two spellings of a key the last that is not null holds,
+    the others can be had by _values."""
     out: dict[str, Any] = {}
+    earlier: dict[str, list] = {}
     for k, v in pairs:
         k = k.lower()
         if v is not None or k not in out:
+            if out.get(k) is not None:
+                earlier.setdefault(k, []).append(out[k])
             out[k] = v
+    if earlier:
+        out = _Repeated(out)
+        out.earlier = earlier
     return out
 
 
+def _values(node: dict[str, Any], key: str) -> list:
+    """The values of all spellings of a key, as written."""
+    return [*(node.earlier.get(key, ()) if isinstance(node, _Repeated) else ()), node.get(key)]
+
+
 def _as_array(v: Any) -> list:
     """A lone object or string stands for an array of one; anything else is no array."""
     return v if isinstance(v, list) else [v] if isinstance(v, (dict, str)) else []
@@ -121,7 +139,7 @@ def _shred(body: str, automaton: TreeAutomaton) -> Iterator[dict[str, Any]]:
     if not isinstance(root, dict):
         yield {"record": "rejected", "variant": automaton.state(root), "error": "the body is not an object"}
         return
-    for i, item in enumerate(_as_array(root.get("ciphers"))):
+    for i, item in (x for v in _values(root, "ciphers") for x in enumerate(_as_array(v))):
         if item is None:
             continue
         if not isinstance(item, dict):
@@ -132,7 +150,7 @@ def _shred(body: str, automaton: TreeAutomaton) -> Iterator[dict[str, Any]]:
             "folder_id": _text(item.get("folderid")), "item_name": _text(item.get("name")), "revision_date": _text(item.get("revisiondate")), "notes": _text(item.get("notes")),
         }
         for key, child in CHILDREN.items():
-            for j, e in enumerate(_as_array(item.get(key))):
+            for j, e in (x for v in _values(item, key) for x in enumerate(_as_array(v))):
                 if e is None:
                     continue
                 row = {"record": child, "cipher_idx": i, "child_idx": j, "variant": automaton.state(e)}
@@ -153,7 +171,8 @@ def shred(bodies: DataFrame, key: str = "body_id", body: str = "body", rows_at_o
     One narrow pass without a shuffle: a body is parsed once, where it is read, and rows leave in
     batches of rows_at_once, so a very long body needs memory for itself only. Null bodies give no
     rows; bodies that are no JSON object give one row with record "rejected" and the reason. Null
-    array elements give no row but keep their index. Repeated bodies give repeated rows.
+    array elements give no row but keep their index. Repeated bodies give repeated rows. If an object
+    holds ciphers or a kind of child under several spellings, all arrays count, each with its own index.
     """
     key_type = bodies.schema[key].dataType
 

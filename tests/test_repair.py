@@ -10,6 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from keelstone.operators import intervals, nested, ordered, orphans, records
+from keelstone.queries import repair as repair_queries
 
 
 # --- nested records
@@ -230,3 +231,14 @@ def test_lag_and_sums_by_block(spark, width):
     out = ordered.running_sum_by_block(ordered.lag_by_block(df, "k", ["seq"], "v", "before", width), "k", ["seq"], df["seq"] * 0 + 1, "n", width)
     for k, i, before, n in rows(out, "k", "seq", "before", "n"):
         assert n == i + 1 and before == (data[(k == "b") * 40 + i - 1][2] if i else None)
+
+
+def test_both_spellings_of_a_key_count(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    body = '{"Ciphers": [{"Fields": [{"name": "a"}], "fields": [{"name": "b"}, {"name": "c"}], "collectionIds": null, "CollectionIds": ["x"]}], "ciphers": [null, {"passwordHistory": [{"password": "p"}]}]}'
+    spark.createDataFrame([(1, body)], "body_id bigint, body string").write.parquet(f"{tmp_path}/sync_bodies.parquet")
+    got = rows(repair_queries.p2_found(spark, str(tmp_path)), "body_id", "cipher_idx", "child", "child_idx")
+    assert got == [(1, 0, "collection_ids", 0), (1, 0, "fields", 0), (1, 0, "fields", 0), (1, 0, "fields", 1), (1, 1, "password_history", 0)]
+    con = duckdb.connect()
+    con.execute(f"create view sync_bodies as select * from '{tmp_path}/sync_bodies.parquet/*.parquet'")
+    assert sorted(con.sql(f"select body_id, cipher_idx, child, child_idx from ({repair_queries.SQL['p2_found']})").fetchall()) == got
