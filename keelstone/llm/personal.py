@@ -5,7 +5,9 @@ and grouping, a street its type, an address its order, an e-mail address its top
 person their title, gender, script and spelling in capitals. Letters and digits are permuted by a
 format-preserving Feistel network, vowels among vowels, consonants among consonants, digits among
 digits, so distinct values of one shape get distinct surrogates by construction, and a name gets
-the same one wherever and however it is written. collisions() checks that over all data.
+the same one wherever and however it is written. A permuted word that would meet a listed name, a title
+or a street type is permuted again until it does not, which keeps distinct words distinct; collisions()
+checks that over all data. People are found by the model of persons.py, all else by patterns.
 """
 
 from __future__ import annotations
@@ -18,22 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import persons
+from .persons import FEMALE, GENDER, MALE, TITLES
+
 KINDS = ("email", "id_number", "phone", "address", "person")
 
-# Common first names of the languages at hand, by gender; a person is known by one of these, by a title, or by what is said of them.
-FEMALE = """alice amelie amina ana andrea angela anna anneke annette beatrice bettina birgit camille carla carmen carolina caroline catherine cecile celia chiara
-christine clara claire claudia cristina diana dolores elena elisa elise elizabeth emilia emily emma esther eva fatima florence francesca frieda gabriela gerda gisela
-giulia greta hanna hannah heike helen helena ines inga ingrid irene irina isabel jana jane jessica joanna julia julie karin karla katharina laura lea leila lena linda
-lisa louise lucia lucie luisa margaret maria marie marion marta martina mia michelle mila monika monique nadia nadine natalia nina noemi noor nora olga olivia patricia paula petra
-pilar priya rachel rebecca rosa ruth sabine sandra sara sarah silke silvia simone sofia sonja sophie susanne svetlana sylvie teresa ursula valerie vera veronika wanda yasmin zoe""".split()
-MALE = """adam ahmed alain albert alejandro alexander ali andreas andrew antoine antonio arthur axel ben bernd bruno carl carlos charles christian christoph daniel david denis
-diego dieter dmitri edgar eduardo emil emilio enrique erik ernst fabio felix fernando florian francisco frank franz frederic friedrich georg george gerard gregor guido
-gustav hans harald hassan heinz henri henry hugo igor ivan jacques james jan javier jean joachim johann john jonas jorge jose joseph juan juergen karl klaus kofi konrad
-kurt lars leo liam louis luca lucas luis lukas manfred marc marcel marco mario markus martin mateo matthias max michael michel miguel mohammed nicolas oliver omar oscar
-otto pablo paolo patrick paul pedro peter philipp pierre quentin rafael ralf raul richard robert rolf ruben samir samuel sebastian sergio simon stefan tariq thomas tim
-tomas ulrich viktor walter werner wilhelm william xavier yusuf""".split()
-GENDER = {n: "f" for n in FEMALE} | {n: "m" for n in MALE}
-TITLES = frozenset("mr mrs ms miss mx dr prof herr frau mme mlle madame monsieur sr sra srta señor señora doña dra".split())
 _FILE_ENDINGS = frozenset("png jpg jpeg gif svg webp bmp ico pdf css js html xml json csv txt zip".split())
 
 _EMAIL = re.compile(r"(?<![\w.+%-])[\w.+%-]*\w\s?(?:@|[(\[{]\s?(?:at|AT)\s?[)\]}]\s?)(?:[\w-]+(?:\.|\s?[(\[{]\s?(?:dot|DOT)\s?[)\]}]\s?))+([A-Za-z]{2,24})(?![\w-])")
@@ -58,6 +49,7 @@ _IDS = re.compile(
 _PHONE = re.compile(
     r"""(?<![\w+@.-])(?:
       (?:\+1[\ .-]?|001[\ .-]?)?\(\d{3}\)\ ?\d{3}[-.\ ]\d{4}
+    | 1(?P<one>[-.])\d{3}(?P=one)\d{3}(?P=one)\d{4}
     | (?:\+1[\ .-]?|001[\ .-]?)?\d{3}(?P<sep>[-.])\d{3}(?P=sep)\d{4}
     | (?:\+1[\ .-]?|001[\ .-]?|(?<!\d[\ /]))\d{3}[-.\ ]\d{3}[-.\ ]\d{4}
     | \+[1-9]\d{8,13}
@@ -73,7 +65,8 @@ _PHONE = re.compile(
     re.X,
 )
 _TOWN = r"[^\W\d_]+(?:[-'][^\W\d_]+)*"
-_CAPITAL = r"(?-i:(?!The\b|Street\b|Main\ Street\ theme)[A-ZÀ-Þ])[^\W\d_]*(?:-[^\W\d_]+)*"
+# A word of a street name: with a capital, and neither an article nor the type of a street.
+_CAPITAL = r"(?-i:(?!The\b|Street\b|Road\b)[A-ZÀ-Þ])[^\W\d_]*(?:-[^\W\d_]+)*"
 _SEP = r"(?:,\s*|\s*\n\s*)"
 _NAME = r"[^\W\d_]+(?:-[^\W\d_]+)*"
 _ADDRESS = re.compile(
@@ -82,50 +75,16 @@ _ADDRESS = re.compile(
         (?:,?\sin\s{_TOWN}|{_SEP}{_TOWN}(?:(?:,\s*|\s)(?:[A-Z]{{1,2}}\d{{1,2}}\ \d[A-Z]{{2}}|\d{{5}}))?(?=\W|$))?
     | (?:calle|avenida|avda\.?|plaza|paseo|camino|carrer|c/)\ (?:(?:de|del|la|las|los)\ )?{_NAME}(?:\ {_NAME})?,?\ \d{{1,4}}(?:{_SEP}\d{{1,2}}[º°ª]\ ?[A-Z]?\b)?(?:{_SEP}\d{{5}}\s{_TOWN})?
     | \d{{1,4}}(?:\ (?:bis|ter|quater))?,?\ (?:rue|avenue|boulevard|place|chemin|quai|impasse|allée|cours)\ (?:(?:de\ la|de|du|des)\ |de\ l'|d')?{_NAME}(?:{_SEP}\d{{5}}\s{_TOWN})?
-    | {_NAME}(?:straße|strasse|str\.|weg|gasse|platz|allee|ufer|damm|ring)\ \d{{1,4}}[a-z]?(?:{_SEP}\d{{5}}\s{_TOWN})?
+    | {_NAME}(?:straße|strasse|str\.?|weg|gasse|platz|allee|ufer|damm|ring)\ \d{{1,4}}[a-z]?(?:{_SEP}\d{{5}}\s{_TOWN})?
     )""",
     re.X | re.I,
 )
-_SURNAME = r"[^\W\d_]{2,}(?:[-'’][^\W\d_]+)*"
-_TITLED = re.compile(rf"(?<![\w@])(?:{'|'.join(sorted(TITLES, key=len, reverse=True))})\b\.?\ +((?!(?:de|la|der|die|das|the|le|el)\b){_SURNAME})", re.I)
-_SAID = re.compile(
-    r"""(?:account\ holder|registered\ to|signed\ by|phone\ of|in\ an\ emergency:|compte\ ouvert\ par|angelegt\ von|cuenta\ a\ nombre\ de|ship\ tokens\ to|reach)\s+
-        ((?-i:[A-ZÀ-Þ][^\W\d_]+(?:\ [A-ZÀ-Þ]\.)?\ [A-ZÀ-Þ][^\W\d_]+))(?=[.,;]|\s+(?:on|keeps|under)\b|$)""",
-    re.X | re.I,
-)
 _WORD = re.compile(r"[^\W\d_]+")
-_AFTER = re.compile(r"(?:\ [^\W\d_]\.)?\ ([^\W\d_]{3,}(?:[-'’][^\W\d_]+)*)|\ [^\W\d_]\.")
-_BEFORE = re.compile(r"([^\W\d_]{3,}(?:[-'’][^\W\d_]+)*),\ \Z")
-
-
-def _person(text: str, free) -> Iterator[tuple[int, int]]:
-    words = [(m.start(), m.end(), m[0].lower()) for m in _WORD.finditer(text)]
-    if any(w in TITLES for _, _, w in words):
-        for m in _TITLED.finditer(text):
-            if m[0][0].isupper():
-                more = _AFTER.match(text, m.end()) if m[1].lower() in GENDER else None
-                yield m.start(), more.end() if more else m.end()
-    for a, b, w in words:
-        if w not in GENDER or not free(a, b) or text[a - 1 : a] in ("@", "-", "_", "+") or text[b : b + 1] in ("@", "_", "+"):
-            continue
-        before = _BEFORE.search(text, max(0, a - 40), a)
-        if before and (before[1][0].isupper() or text[a].islower()) and before[1].lower() not in GENDER and before[1][0].isupper() == text[a].isupper() and before[1].isupper() == text[a:b].isupper():
-            yield before.start(1), b
-            continue
-        m = _AFTER.match(text, b)
-        if m is None:
-            continue
-        last, first = m[1], text[a:b]
-        if last is None:
-            yield a, m.end()
-        elif first.isupper() == last.isupper() and first[0].isupper() == last[0].isupper():
-            yield a, m.end()
-    for m in _SAID.finditer(text):
-        yield m.span(1)
-
-
-def find(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of what is found, in order, without overlaps; earlier kinds win."""
+
+
+def find(text: str, names: persons.Model | None = None) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of what is found, in order, without overlaps; earlier kinds win. names is the
+    fitted model of names, the one of the sample if not given."""
     taken: list[tuple[int, int, str]] = []
     used = bytearray(len(text))
 
@@ -145,7 +104,7 @@ def find(text: str) -> list[tuple[int, int, str]]:
         for kind, pattern in (("id_number", _IDS), ("phone", _PHONE), ("address", _ADDRESS)):
             for m in pattern.finditer(text):
                 take(*m.span(), kind)
-    for a, b in _person(text, free):
+    for a, b in persons.find(text, names or persons.model(), free):
         take(a, b, "person")
     return sorted(taken)
 
@@ -196,6 +155,14 @@ class Surrogates:
                     out[i] = c.upper() if text[i].isupper() and len(c.upper()) == 1 else c
         return "".join(out)
 
+    def walk(self, text: str, tweak: str, taken) -> str:
+        """shape() on the words that taken denies: it is applied again until the result is one of them, which
+        keeps it a bijection there, and no result is a word with a meaning of its own."""
+        out = self.shape(text, tweak)
+        while taken(out.lower()):
+            out = self.shape(out, tweak)
+        return out
+
     def _cased(self, like: str, name: str) -> str:
         return name.upper() if like.isupper() and len(like) > 1 else name.title() if like[0].isupper() else name
 
@@ -209,12 +176,12 @@ class Surrogates:
             return text[:head] + self.shape(text[head:], "phone")
         if kind == "person":
             return _WORD.sub(lambda m: self._name(m[0]), text)
-        return re.sub(r"[^\W_]+", lambda m: m[0] if m[0].lower() in self.KEPT else self._street(m[0]) if kind == "address" else self.shape(m[0], kind), text)
+        return re.sub(r"[^\W_]+", lambda m: m[0] if m[0].lower() in self.KEPT else self._street(m[0]) if kind == "address" else self.walk(m[0], kind, self.KEPT.__contains__), text)
 
     def _street(self, word: str) -> str:
         m = re.search(r"(?:straße|strasse|str|weg|gasse|platz|allee|ufer|damm|ring)\Z", word, re.I)
         cut = m.start() if m else len(word)
-        return self.shape(word[:cut], "address") + word[cut:]
+        return (self.walk(word[:cut], "address", self.KEPT.__contains__) if cut else "") + word[cut:]
 
     def _name(self, word: str) -> str:
         low = word.lower()
@@ -222,7 +189,7 @@ class Surrogates:
             return word
         if low in GENDER:
             return self._cased(word, self.names[GENDER[low]][low])
-        return self.shape(word, "surname")
+        return self.walk(word, "surname", lambda w: w in GENDER or w in TITLES)
 
 
 def canonical(text: str, kind: str) -> str:
@@ -243,49 +210,46 @@ def replace(text: str, spans: list[tuple[int, int, str]], of) -> str:
     return "".join([*out, text[at:]])
 
 
-def mentions(rows: DataFrame, key: str, text: str, secret: str = "keelstone") -> DataFrame:
+def mentions(rows: DataFrame, key: str, text: str, secret: str) -> DataFrame:
     """(row_key, pii_kind, mention, canonical, surrogate), one row per mention. Narrow. Null and empty
-    texts have none; repeated rows give repeated mentions; whole texts are read, however long."""
+    texts have none; repeated rows give repeated mentions; whole texts are read, however long. secret is
+    the key of the surrogates and has no default: who knows it can undo them."""
     ddl = "row_key bigint, pii_kind string, mention string, canonical string, surrogate string"
+    names = persons.model()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keyed = Surrogates(secret)
         for batch in batches:
-            out = [(k, kind, t[a:b], canonical(t[a:b], kind), keyed.of(t[a:b], kind)) for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if t for a, b, kind in find(t)]
+            out = [(k, kind, t[a:b], canonical(t[a:b], kind), keyed.of(t[a:b], kind)) for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if t for a, b, kind in find(t, names)]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), *[pa.string()] * 4), strict=True)], names=["row_key", "pii_kind", "mention", "canonical", "surrogate"])
 
     return rows.select(F.col(key).cast("bigint"), F.col(text)).mapInArrow(run, ddl)
 
 
-def kinds_found(rows: DataFrame, key: str, text: str, source: str) -> DataFrame:
-    """(src_table, row_key, pii_kind): one row for each record and kind; repeated keys give one."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [(k, kind) for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if t for kind in sorted({kind for _, _, kind in find(t)})]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.string()), strict=True)], names=["row_key", "pii_kind"])
-
-    found = rows.where(F.col(text).isNotNull()).select(F.col(key).cast("bigint"), F.col(text)).mapInArrow(run, "row_key bigint, pii_kind string")
-    return found.select(F.lit(source).alias("src_table"), "row_key", "pii_kind")
-
-
-def redact(rows: DataFrame, key: str, text: str, secret: str = "keelstone") -> DataFrame:
-    """(key, n_mentions, placeholders, surrogates): the text with each mention as [KIND], and with
-    keyed surrogates; all else is untouched. Null stays null."""
+def redact(rows: DataFrame, key: str, text: str, secret: str) -> DataFrame:
+    """(key, n_mentions, kinds, placeholders, surrogates): the text with each mention as [KIND], and with
+    keyed surrogates; all else is untouched. kinds are the kinds found, each once. Null stays null."""
     key_type = rows.schema[key].dataType.simpleString()
+    names = persons.model()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keyed = Surrogates(secret)
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            spans = [find(t) if t else [] for t in texts]
+            spans = [find(t, names) if t else [] for t in texts]
+            kinds = [sorted({kind for *_, kind in s}) for s in spans]
             held = [replace(t, s, lambda _, kind: f"[{kind.upper()}]") if s else t for t, s in zip(texts, spans, strict=True)]
             changed = [replace(t, s, keyed.of) if s else t for t, s in zip(texts, spans, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, spans), pa.int64()), pa.array(held, pa.string()), pa.array(changed, pa.string())], names=[key, "n_mentions", "placeholders", "surrogates"])
+            arrays = [batch.column(0), pa.array(map(len, spans), pa.int64()), pa.array(kinds, pa.list_(pa.string())), pa.array(held, pa.string()), pa.array(changed, pa.string())]
+            yield pa.RecordBatch.from_arrays(arrays, names=[key, "n_mentions", "kinds", "placeholders", "surrogates"])
+
+    return rows.select(key, text).mapInArrow(run, f"{key} {key_type}, n_mentions bigint, kinds array<string>, placeholders string, surrogates string")
+
 
-    return rows.select(key, text).mapInArrow(run, f"{key} {key_type}, n_mentions bigint, placeholders string, surrogates string")
+def kinds_found(redacted: DataFrame, key: str, source: str) -> DataFrame:
+    """(src_table, row_key, pii_kind) of a redacted table: one row for each record and kind."""
+    return redacted.select(F.lit(source).alias("src_table"), F.col(key).cast("bigint").alias("row_key"), F.explode("kinds").alias("pii_kind"))
 
 
 def collisions(found: DataFrame) -> DataFrame:

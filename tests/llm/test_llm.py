@@ -180,11 +180,11 @@ def test_surrogates_are_keyed_bijections():
 
 def test_redaction_touches_nothing_else(spark):
     df = spark.createDataFrame([(1, "Call 415-555-0184, ask Rosa Marquand first.\n"), (2, None), (3, ""), (4, "x" * 100_000 + " a@b.test"), (1, "none")], "pos bigint, notes string")
-    r = {(x.pos, x.n_mentions): x for x in personal.redact(df, "pos", "notes").collect()}
+    r = {(x.pos, x.n_mentions): x for x in personal.redact(df, "pos", "notes", "k").collect()}
     assert r[1, 2].placeholders == "Call [PHONE], ask [PERSON] first.\n" and re.fullmatch(r"Call \d{3}-\d{3}-\d{4}, ask [A-Z][a-z]+ [A-Z][a-z]+ first\.\n", r[1, 2].surrogates)
     assert r[2, 0].placeholders is None and r[3, 0].surrogates == "" and r[4, 1].placeholders == "x" * 100_000 + " [EMAIL]" and r[1, 0].placeholders == "none"
-    assert rows(personal.kinds_found(df, "pos", "notes", "t")) == [("t", 1, "person"), ("t", 1, "phone"), ("t", 4, "email")]
-    assert personal.collisions(personal.mentions(df, "pos", "notes")).count() == 0
+    assert rows(personal.kinds_found(personal.redact(df, "pos", "notes", "k"), "pos", "t")) == [("t", 1, "person"), ("t", 1, "phone"), ("t", 4, "email")]
+    assert personal.collisions(personal.mentions(df, "pos", "notes", "k")).count() == 0
     bad = spark.createDataFrame([("phone", "1", "9"), ("phone", "2", "9"), ("phone", "2", "9")], "pii_kind string, mention string, surrogate string")
     assert rows(personal.collisions(bad)) == [("phone", "9", 2)]
 
