@@ -12,16 +12,33 @@ from ..session import table
 _WS = "||".join(f"chr({ord(c)})" for c in WHITE_SPACE)
 
 
+def _bodies(spark: SparkSession, d: str) -> DataFrame:
+    return nested.shred(table(spark, d, "sync_bodies"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return nested.child_places(nested.shred(table(spark, d, "sync_bodies")))
+    return nested.child_places(_bodies(spark, d))
 
 
 def p2_items(spark: SparkSession, d: str) -> DataFrame:
-    return nested.tables(nested.shred(table(spark, d, "sync_bodies")))["items"].select("body_id", "cipher_idx", "item_id", "item_type", "item_name", "folder_id")
+    return nested.supertype(_bodies(spark, d), "ciphers").select("body_id", "cipher_idx", "variant", "item_id", "item_type", "item_name", "folder_id")
 
 
 def p2_variants(spark: SparkSession, d: str) -> DataFrame:
-    return nested.shred(table(spark, d, "sync_bodies")).groupBy("record", "variant").agg(F.count("*").alias("n_rows"))
+    """Rows of each variant table."""
+    return _bodies(spark, d).groupBy("record").agg(F.count("*").alias("n_rows"))
+
+
+def _variant(name: str):
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        return nested.tables(_bodies(spark, d))[name]
+
+    query.__name__ = f"p2_{name}"
+    query.__doc__ = f"The typed table of the variant {name}."
+    return query
+
+
+_VARIANTS = [_variant(n) for n in ("item_login", "item_note", "field_flag", "field_number", "field_linked", "field_structured", "history_dated", "history_undated", "uri_plain", "credentials", "folders", "profiles")]
 
 
 def p2_cipher_fields(spark: SparkSession, d: str) -> DataFrame:
@@ -69,11 +86,54 @@ def p7_totals(spark: SparkSession, d: str) -> DataFrame:
     return spans.groupBy("recording_id", "speaker", "span_kind").agg(F.count("*").alias("n_spans"), F.sum(F.col("end_cs") - F.col("start_cs")).alias("total_cs"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_items, p2_variants, p2_cipher_fields, p2_cipher_history, p2_cipher_collections, p3_found, p3_valid_rows, p3_rejected, p4_found, p4_report, p7_found, p7_totals)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_items, p2_variants, *_VARIANTS, p2_cipher_fields, p2_cipher_history, p2_cipher_collections, p3_found, p3_valid_rows, p3_rejected, p4_found, p4_report, p7_found, p7_totals)}
 
 _ITEMS = """top as (select body_id, value v from sync_bodies, json_each(body) where lower(key) = 'ciphers'),
 arr as (select body_id, case when json_type(v) = 'ARRAY' then v when json_type(v) in ('OBJECT', 'VARCHAR') then json_array(v) end v from top),
 items as (select body_id, cast(rowid_ as bigint) cipher_idx, e from (select body_id, unnest(cast(v as json[])) e, generate_subscripts(cast(v as json[]), 1) - 1 rowid_ from arr where v is not null) where json_type(e) = 'OBJECT')"""
+# Objects as maps of their lower-cased keys, with their variant.
+_NUM = "('UBIGINT', 'BIGINT', 'DOUBLE')"
+_NESTED = f"""{_ITEMS},
+other as (select body_id from (select body_id, unnest(cast(v as json[])) e from arr where v is not null) where json_type(e) not in ('OBJECT', 'NULL')),
+item as (select *, case when json_type(o['type']) not in {_NUM} then 'item_other' when coalesce(json_type(o['login']), 'NULL') <> 'NULL' then 'item_login' when coalesce(json_type(o['securenote']), 'NULL') <> 'NULL' then 'item_note' when coalesce(json_type(o['card']), 'NULL') <> 'NULL' then 'item_card'
+ when coalesce(json_type(o['identity']), 'NULL') <> 'NULL' then 'item_identity' when coalesce(json_type(o['sshkey']), 'NULL') <> 'NULL' then 'item_ssh_key' when o['revisiondate'] is not null then 'item_bare' else 'item_other' end variant
+ from (select body_id, cipher_idx, map_from_entries(list((lower(k.key), k.value))) o from items, json_each(e) k group by all)),
+kid as (select body_id, cipher_idx, unnest([('fields', o['fields']), ('password_history', o['passwordhistory']), ('collection_ids', o['collectionids'])]) p from item),
+kids as (select body_id, cipher_idx, p[1] place, case json_type(p[2]) when 'ARRAY' then p[2] when 'OBJECT' then json_array(p[2]) when 'VARCHAR' then json_array(p[2]) end v from kid),
+elements as (select body_id, cipher_idx, place, unnest(cast(v as json[])) e, generate_subscripts(cast(v as json[]), 1) - 1 i from kids where v is not null),
+child as (select body_id, cipher_idx, child_idx, place, e, o, case when place = 'collection_ids' then case json_type(e) when 'VARCHAR' then 'collection_id' else 'collection_other' end
+ when place = 'fields' then case when json_type(o['type']) not in {_NUM} or o['value'] is null then 'field_other' when json_type(o['linkedid']) in {_NUM} then 'field_linked' when json_type(o['value']) = 'OBJECT' then 'field_structured' when json_type(o['value']) = 'BOOLEAN' then 'field_flag'
+  when json_type(o['value']) in {_NUM} then 'field_number' when json_type(o['value']) = 'VARCHAR' then 'field_text' when json_type(o['value']) = 'NULL' then 'field_empty' else 'field_other' end
+ when json_type(o['password']) = 'VARCHAR' and json_type(o['lastuseddate']) = 'VARCHAR' then 'history_dated' when json_type(o['password']) = 'VARCHAR' then 'history_undated' else 'history_other' end variant
+ from (select body_id, cipher_idx, place, cast(i as bigint) child_idx, e, case when json_type(e) = 'OBJECT' then (select map_from_entries(list((lower(k.key), k.value))) from json_each(case when json_type(e) = 'OBJECT' then e else '{{}}' end) k) end o from elements where e is not null and json_type(e) <> 'NULL')),
+block as (select body_id, cipher_idx, (select map_from_entries(list((lower(k.key), k.value))) from json_each(case when json_type(o['login']) = 'OBJECT' then o['login'] else '{{}}' end) k) b from item where json_type(o['login']) = 'OBJECT'),
+bits as (select body_id, cipher_idx, unnest([('uris', b['uris']), ('fido2_credentials', b['fido2credentials'])]) p from block),
+pieces as (select body_id, cipher_idx, p[1] place, unnest(cast(p[2] as json[])) e, generate_subscripts(cast(p[2] as json[]), 1) - 1 i from bits where json_type(p[2]) = 'ARRAY'),
+part as (select *, case when place = 'uris' then case when json_type(o['uri']) <> 'VARCHAR' then 'uri_other' when json_type(o['match']) in {_NUM} then 'uri_matched' else 'uri_plain' end else case when o['credentialid'] is null then 'credential_other' else 'credentials' end end variant
+ from (select body_id, cipher_idx, place, cast(i as bigint) child_idx, (select map_from_entries(list((lower(k.key), k.value))) from json_each(case when json_type(e) = 'OBJECT' then e else '{{}}' end) k) o from pieces where json_type(e) = 'OBJECT')),
+tops as (select body_id, value v from sync_bodies, json_each(body) where lower(key) = 'folders' and json_type(value) = 'ARRAY'),
+folder as (select body_id, cast(i as bigint) folder_idx, (select map_from_entries(list((lower(k.key), k.value))) from json_each(case when json_type(e) = 'OBJECT' then e else '{{}}' end) k) o from (select body_id, unnest(cast(v as json[])) e, generate_subscripts(cast(v as json[]), 1) - 1 i from tops) where json_type(e) = 'OBJECT')"""
+_SHARED = {
+    "item": "cipher_idx, {s}'id'{e} item_id, cast(o['type'] as bigint) item_type, {s}'organizationid'{e} organization_id, {s}'folderid'{e} folder_id, {s}'name'{e} item_name, {s}'revisiondate'{e} revision_date, {s}'notes'{e} notes",
+    "field": "cipher_idx, child_idx, {s}'name'{e} \"name\", cast(o['type'] as bigint) field_type",
+    "history": "cipher_idx, child_idx, {s}'password'{e} \"password\"",
+    "uri": "cipher_idx, child_idx, {s}'uri'{e} uri",
+    "credential": "cipher_idx, child_idx, {s}'credentialid'{e} credential_id",
+}
+
+
+def _variant_sql(source: str, variant: str, shared: str, own: tuple[str, ...], block: str | None = None) -> str:
+    """SELECT of one variant table: own columns are given as "key [column [type]]", read from the block if there is one."""
+    cols = []
+    for spec in own:
+        key, name, kind = (*spec.split(), *([None, None][: 3 - len(spec.split())]))[:3]
+        get = f"(select json_extract_string(max(k.value), '$') from json_each(o['{block}']) k where lower(k.key) = '{key}')" if block else f"json_extract_string(o['{key}'], '$')"
+        if key == "value" and not kind:  # keys of nested objects are lower-cased
+            get = f"replace(replace({get}, '\"Text\":', '\"text\":'), '\"Parts\":', '\"parts\":')"
+        cols.append(f'cast({get} as {kind or "varchar"}) "{name or key}"')
+    return f"with {_NESTED} select body_id, {_SHARED[shared].format(s='json_extract_string(o[', e='], chr(36))')}{''.join(', ' + c for c in cols)} from {source} where variant = '{variant}'"
+
+
 _FIELD = '("(?:[^"]|"")*"|[^",]*)'
 _BODY = "regexp_replace(coalesce(record, ''), '(\\r\\n|\\r|\\n)\\z', '')"
 _P3 = f"""rec as (select raw_id, {_BODY} r from apple_raw where line_no is distinct from 1),
@@ -101,8 +161,23 @@ SQL = {
 kids as (select body_id, cipher_idx, case lower(k.key) when 'fields' then 'fields' when 'passwordhistory' then 'password_history' else 'collection_ids' end child, k.value v from items, json_each(e) k where lower(k.key) in ('fields', 'passwordhistory', 'collectionids')),
 ka as (select body_id, cipher_idx, child, case when json_type(v) = 'ARRAY' then v when json_type(v) in ('OBJECT', 'VARCHAR') then json_array(v) end v from kids)
 select body_id, cipher_idx, child, cast(i as bigint) child_idx from (select body_id, cipher_idx, child, unnest(cast(v as json[])) e, generate_subscripts(cast(v as json[]), 1) - 1 i from ka where v is not null) where e is not null and json_type(e) <> 'NULL'""",
-    "p2_items": f"""with {_ITEMS}, kv as (select body_id, cipher_idx, lower(k.key) k, json_extract_string(k.value, '$') v from items, json_each(e) k)
-select body_id, cipher_idx, max(v) filter (k = 'id') item_id, cast(max(v) filter (k = 'type') as bigint) item_type, max(v) filter (k = 'name') item_name, max(v) filter (k = 'folderid') folder_id from kv group by all""",
+    "p2_items": f"""with {_NESTED} select body_id, cipher_idx, variant, json_extract_string(o['id'], '$') item_id, cast(o['type'] as bigint) item_type, json_extract_string(o['name'], '$') item_name, json_extract_string(o['folderid'], '$') folder_id from item""",
+    "p2_variants": f"""with {_NESTED}, named as (select variant from item union all select variant from child union all select variant from part),
+profiles as (select value v from sync_bodies, json_each(body) where lower(key) = 'profile' and json_type(value) <> 'NULL')
+select variant record, count(*) n_rows from named group by all union all select 'folders', count(*) from folder having count(*) > 0 union all select 'profiles', count(*) from profiles having count(*) > 0
+union all select 'rejected', count(*) from other having count(*) > 0""",
+    "p2_item_login": _variant_sql("item", "item_login", "item", ("username", "password", "totp", "passwordrevisiondate password_revision_date"), block="login"),
+    "p2_item_note": _variant_sql("item", "item_note", "item", ("type note_type bigint",), block="securenote"),
+    "p2_field_flag": _variant_sql("child", "field_flag", "field", ("value field_value boolean",)),
+    "p2_field_number": _variant_sql("child", "field_number", "field", ("value field_value double",)),
+    "p2_field_linked": _variant_sql("child", "field_linked", "field", ("linkedid linked_id bigint", "value field_value")),
+    "p2_field_structured": _variant_sql("child", "field_structured", "field", ("value field_value",)),
+    "p2_history_dated": _variant_sql("child", "history_dated", "history", ("lastuseddate last_used_date",)),
+    "p2_history_undated": _variant_sql("child", "history_undated", "history", ()),
+    "p2_uri_plain": _variant_sql("part", "uri_plain", "uri", ()),
+    "p2_credentials": _variant_sql("part", "credentials", "credential", ("rpid rp_id", "username user_name", "counter", "creationdate creation_date")),
+    "p2_folders": f"with {_NESTED} select body_id, folder_idx, json_extract_string(o['id'], '$') folder_id, json_extract_string(o['name'], '$') \"name\" from folder",
+    "p2_profiles": "with p as (select body_id, value v from sync_bodies, json_each(body) where lower(key) = 'profile'), o as (select body_id, map_from_entries(list((lower(k.key), k.value))) o from p, json_each(v) k group by all) select body_id, json_extract_string(o['email'], '$') email, json_extract_string(o['key'], '$') profile_key from o",
     "p2_cipher_fields": "select pos, cast(i - 1 as bigint) child_idx, e.name, e.field_value, e.field_type, e.linked_id from (select pos, unnest(custom_fields) e, generate_subscripts(custom_fields, 1) i from ciphers) where e is not null",
     "p2_cipher_history": "select pos, cast(i - 1 as bigint) child_idx, e.password, e.last_used_date from (select pos, unnest(password_history) e, generate_subscripts(password_history, 1) i from ciphers) where e is not null",
     "p2_cipher_collections": "select pos, cast(i - 1 as bigint) child_idx, e collection_id from (select pos, unnest(collection_ids) e, generate_subscripts(collection_ids, 1) i from ciphers) where e is not null",

@@ -26,16 +26,17 @@ def test_children_keep_their_places(spark):
     s = shredded(spark, json.dumps(body))
     assert rows(nested.child_places(s)) == [(0, 1, "collection_ids", 0), (0, 1, "fields", 1), (0, 1, "password_history", 0)]
     t = nested.tables(s)
-    assert rows(t["items"], "cipher_idx", "variant") == [(1, "item_login"), (3, "object")]
-    assert rows(t["fields"], "child_idx", "variant", "name", "field_value") == [(1, "field_structured", "a", '{"x": 1}')]
-    assert rows(t["password_history"], "variant", "password") == [("history_undated", "p")]
-    assert rows(t["collection_ids"], "variant", "collection_id") == [("str", "c")]
+    assert rows(nested.supertype(s, "ciphers"), "cipher_idx", "variant") == [(1, "item_login"), (3, "item_other")]
+    assert rows(t["item_other"], "cipher_idx", "item_type", "raw") == [(3, 2, '{"type":2,"fields":null}')]
+    assert rows(t["field_structured"], "child_idx", "name", "field_value") == [(1, "a", '{"x":1}')]
+    assert rows(t["history_undated"], "password") == [("p",)]
+    assert rows(t["collection_id"], "collection_id") == [("c",)]
     assert rows(t["rejected"], "cipher_idx", "error") == [(2, "the item is not an object")]
 
 
 def test_bodies_that_are_no_records(spark):
     s = shredded(spark, None, "", "{", "[1]", '{"ciphers": 3}', '{"ciphers": {"type": 1}}', "[" * 100_000)
-    assert rows(s, "body_id", "record") == [(1, "rejected"), (2, "rejected"), (3, "rejected"), (5, "item"), (6, "rejected")]
+    assert rows(s, "body_id", "record") == [(1, "rejected"), (2, "rejected"), (3, "rejected"), (5, "item_other"), (6, "rejected")]
     assert nested.child_places(shredded(spark)).count() == 0
 
 
@@ -47,11 +48,32 @@ def test_long_bodies_leave_in_batches(spark):
 
 def test_automaton_states():
     a = nested.TreeAutomaton()
-    assert a.state([1, None, 2.5]) == "array" and a.state([1, "x"]) == "array_mixed" and a.state({"ciphers": []}) == "envelope"
+    assert a.state([1, None, 2.5]) == "array" and a.state([1, "x"]) == "array_mixed"
     assert a.state({"type": 1, "login": None, "card": {}}) == "item_card"
     assert a.state({"type": 1, "value": True}) == "field_flag" and a.state({"password": "x", "lastuseddate": None}) == "history_undated"
 
 
+def test_variants_are_typed_and_nothing_is_dropped(spark):
+    fields = [{"type": 0, "value": True}, {"type": 1, "value": 2.5}, {"type": 3, "value": None, "linkedId": 100}, {"type": 0, "value": None}, {"type": 0, "value": "t"}, {"name": "no type"}, "text", 7, [1]]
+    login = {"type": 1, "login": {"username": "u", "uris": [{"uri": "a", "match": 2}, {"uri": "b", "match": None}, "c", None], "fido2Credentials": {"credentialId": "k", "counter": "3"}}, "fields": fields}
+    more = [{"type": 3, "card": {"brand": "B", "number": "4"}}, {"type": 4, "identity": {"firstName": "F", "SSN": "1"}}, {"type": 5, "sshKey": {"privateKey": "x"}}, {"type": 2, "secureNote": {"type": 0}}, {"type": 9, "revisionDate": None}]
+    s = shredded(spark, json.dumps({"profile": {"email": "e", "key": "k"}, "folders": [{"id": "1", "name": "n"}, None, {"id": "2"}], "ciphers": [login, *more]}))
+    t = {n: rows(df.drop("body_id")) for n, df in nested.tables(s).items()}
+    assert t["field_flag"] == [(0, 0, None, 0, True)] and t["field_number"] == [(0, 1, None, 1, 2.5)] and t["field_linked"] == [(0, 2, None, 3, 100, None)] and t["field_empty"] == [(0, 3, None, 0)]
+    assert [(r[1], r[-1]) for r in t["field_other"]] == [(5, '{"name":"no type"}'), (6, "text"), (7, "7"), (8, "[1]")]
+    assert t["uri_matched"] == [(0, 0, "a", 2)] and t["uri_plain"] == [(0, 1, "b")] and t["uri_other"] == [(0, 2, "c", "c")] and t["credentials"] == [(0, 0, "k", None, None, "3", None)]
+    assert t["item_card"][0][8:] == (None, "B", "4", None, None, None) and t["item_identity"][0][9] == "F" and t["item_ssh_key"][0][8] == "x" and t["item_note"][0][8] == 0 and len(t["item_bare"]) == 1
+    assert t["profiles"] == [("e", "k")] and t["folders"] == [(0, "1", "n")] and t["folder_other"] == [(2, "2", None, '{"id":"2"}')]
+    assert s.count() == sum(map(len, t.values())) == 22
+
+
+def test_depth_costs_no_recursion(spark):
+    deep = '{"ciphers": [{"type": 1, "login": {}, "fields": [{"type": 0, "value": ' + '{"a": [' * 1500 + "1" + "]}" * 1500 + "}]}]}"
+    s = shredded(spark, deep, "[" * 1_000_000)
+    r = nested.tables(s)["field_structured"].first()
+    assert r.field_value.count("[") == 1500 and rows(s, "body_id", "record") == [(0, "field_structured"), (0, "item_login"), (1, "rejected")]
+
+
 def test_typed_children(spark):
     df = spark.createDataFrame([(1, ["a", None, "b"]), (2, None), (3, [])], "pos bigint, c array<string>")
     assert rows(nested.typed_children(df, "pos", "c")) == [(1, 0, "a"), (1, 2, "b")]
