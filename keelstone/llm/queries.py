@@ -83,7 +83,13 @@ def p9_items(spark: SparkSession, d: str) -> DataFrame:
     return hits.groupBy("item_id").agg(F.count("*").alias("n_docs_touched"), F.count_if(leaked).alias("n_docs_leaked"), F.max("n_covered").alias("most_covered"), F.max("longest_run").alias("longest_run"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_survivors, p5_found, p5_redacted, p5_collisions, p6_found, p6_sets, p8_containers, p8_fill, p9_found, p9_items, p10_found, p10_stats, p10_classes)}
+def p9_edited(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold a third of an item in stretches of eight words with at most one error each."""
+    hits = leakage.item_hits(table(spark, d, "documents"), table(spark, d, "eval_items"), errors=1)
+    return leakage.leaked(hits)
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_survivors, p5_found, p5_redacted, p5_collisions, p6_found, p6_sets, p8_containers, p8_fill, p9_found, p9_items, p9_edited, p10_found, p10_stats, p10_classes)}
 
 _P1 = f"""member as (select *, regexp_replace(lower(rtrim(regexp_replace(trim(coalesce(name, ''), {_WS}), '(?s)\\([^(]*@[^(]*\\)\\z', ''), {_WS})), 'x^', '') nm, trim(coalesce(login.username, ''), {_WS}) us, login.password pw, coalesce(organization_id, '') org,
  list_sort(list_distinct(list_transform(coalesce(login.fido2_credentials, []), lambda x: coalesce(x.credential_id, '')))) cred, greatest(coalesce(len(password_history), 0), 0) h, coalesce(revision_date, '') rev, coalesce(creation_date, '') cre
@@ -102,8 +108,22 @@ _P10 = f"""t as (select doc_id, coalesce(text, '') x, regexp_extract_all(coalesc
 c as (select doc_id, count(*) n_common from (select doc_id, lower(unnest(w)) v from t) where v in (select lower(word) from common_words) group by doc_id),
 s as (select doc_id, len(w) n_words, coalesce(length(array_to_string(w, '')), 0) wc, length(x) n, length(regexp_replace(x, '[\\p{{L}}\\p{{N}}' || {_WS} || ']', '', 'g')) sym, len(lines) nl, len(list_filter(lines, lambda l: right(l, 1) in ('.', '!', '?', '…', ':', ';', '"', '''', '”', '»', ')'))) ne, coalesce(n_common, 0) nc from t left join c using (doc_id))"""
 
+_WORDS = lambda c: f"regexp_extract_all(lower(regexp_replace(regexp_replace(replace(replace(replace({c}, '\\r', ' '), '\\n', ' '), '\\t', ' '), '<[/!?A-Za-z][^<>]*>', ' ', 'g'), '[\\x{{00ad}}\\x{{200b}}\\x{{200c}}\\x{{200d}}\\x{{2060}}\\x{{feff}}]', '', 'g')), '[\\p{{L}}\\p{{N}}]+')"
+_P9 = f"""i0 as (select item_id, {_WORDS('text')} w, coalesce(len({_WORDS("regexp_extract(text, '^[^.!?]*[.!?]')")}), 0) n, array_to_string({_WORDS("regexp_extract(text, '^[^.!?]*[.!?]')")}, ' ') o from eval_items where text is not null),
+i1 as (select item_id, case when n > 0 and count(*) over (partition by o) >= {leakage.SHARED_BY} then w[n + 1:] else w end w from i0),
+ig as (select item_id, len(w) n_words, unnest(generate_series(1, len(w) - 7)) k, w from i1 where len(w) >= 8),
+is_ as (select item_id, n_words, k, array_to_string(w[k:k + 7], ' ') g from ig),
+dw as (select doc_id, {_WORDS('text')} w from documents where text is not null),
+dg as (select distinct doc_id, array_to_string(w[k:k + 7], ' ') g from (select doc_id, w, unnest(generate_series(1, len(w) - 7)) k from dw where len(w) >= 8)),
+met as (select doc_id, item_id, n_words, k from dg join is_ using (g)),
+hit as (select distinct doc_id, item_id, n_words, unnest(generate_series(k, k + 7)) wk from met),
+runs as (select doc_id, item_id, n_words, count(*) n from (select *, wk - row_number() over (partition by doc_id, item_id order by wk) r from hit) group by doc_id, item_id, n_words, r),
+pair as (select doc_id, item_id, n_words, sum(n) n_covered, max(n) longest from runs group by all)"""
+
 SQL = {
     "p10_stats": f"with {_P10} select doc_id, cast(n_words as bigint) n_words, " + ", ".join(f"round(case when {b} > 0 then {a} / {b} else 0 end, 6) {name}" for name, a, b in (("mean_word_len", "wc", "n_words"), ("symbol_share", "sym", "n"), ("ended_line_share", "ne", "nl"), ("common_word_share", "nc", "n_words"))) + " from s",
+    "p9_found": f"with {_P9} select doc_id, item_id from pair where n_covered * 3 >= n_words",
+    "p9_items": f"with {_P9} select item_id, count(*) n_docs_touched, count_if(n_covered * 3 >= n_words) n_docs_leaked, cast(max(n_covered) as bigint) most_covered, max(longest) longest_run from pair group by all",
     "p1_found": f"with {_P1} select ranked.pos member_pos, kept_pos, name_pos, notes_pos from ranked join best using (g)",
     "p6_found": f"with {_P6} select src_table, first_key, key copy_key from s where key <> first_key",
     "p6_sets": f"with {_P6} select src_table, first_key, n_copies from s where key = first_key",

@@ -268,43 +268,64 @@ def test_bit_parallel_distance(p, t):
     assert leakage.edit_distance(p, t) == plain_distance(p, t)
 
 
-def brute_cover(item, doc):
+def brute_cover(item, doc, errors=0):
+    """Words of the item in stretches of eight that lie within errors of some stretch of the document."""
     hit = [False] * len(item)
     for a in range(len(item) - 7):
-        for p in range(len(doc) - 7):
-            if item[a : a + 8] == doc[p : p + 8]:
-                hit[a : a + 8] = [True] * 8
+        if plain_distance(item[a : a + 8], doc) <= errors:
+            hit[a : a + 8] = [True] * 8
     return sum(hit)
 
 
-def test_leaks_match_brute_force(spark):
+@pytest.mark.parametrize("errors", [0, 1, 2])
+def test_pieces_stay_whole(errors):
+    """However errors fall on a stretch of eight, wherever it begins, one aligned piece in it is untouched."""
+    piece = leakage.piece_length(errors)
+    for start in range(8):
+        whole = [range(k, k + piece) for k in range(0, 32, piece) if start <= k and k + piece <= start + 8]
+        assert len(whole) >= errors + 1
+
+
+@pytest.mark.parametrize("errors", [0, 1, 2])
+def test_leaks_match_brute_force(spark, errors):
     rnd = random.Random(11)
     vocab = [f"w{i}" for i in range(60)]
     make = lambda n: [rnd.choice(vocab) for _ in range(n)]
     items = [(i, make(rnd.randint(12, 60))) for i in range(12)]
     docs = []
-    for d in range(80):
+    for d in range(60):
         words = make(rnd.randint(5, 60))
         for _ in range(rnd.randint(0, 3)):
             w = rnd.choice(items)[1]
             a = rnd.randint(0, len(w) - 4)
             k = rnd.randint(0, len(words))
-            words[k:k] = w[a : a + rnd.randint(4, 40)]
+            piece = w[a : a + rnd.randint(4, 40)]
+            for _ in range(rnd.randint(0, 3)):  # edited leaks
+                at = rnd.randrange(len(piece))
+                piece = piece[:at] + rnd.choice([[], [rnd.choice(vocab)], [piece[at], rnd.choice(vocab)]]) + piece[at + 1 :] or ["w0"]
+            words[k:k] = piece
         docs.append((d, words))
-    spell = lambda w: rnd.choice([" ".join(w), "<b>" + "</b>\\n<i>".join(w), ", ".join(x.upper() for x in w), "\n> ".join(w)])
+    spell = lambda w: rnd.choice([" ".join(w), "<b>" + "</b>\\n<i>".join(w), ", ".join(x.upper() for x in w), f"<p class='{'x' * 400}'>" + "\n> ".join(w)])
     ddf = spark.createDataFrame([(d, spell(w)) for d, w in docs] + [(100, None), (101, ""), (102, "w1 w2")], "doc_id bigint, text string")
     idf = spark.createDataFrame([(i, " ".join(w)) for i, w in items] + [(50, None), (51, "w1")], "item_id bigint, text string")
-    got = {(r.doc_id, r.item_id): r.n_covered for r in leakage.item_hits(ddf, idf).collect() if r.n_covered}
-    want = {(d, i): c for d, dw in docs for i, iw in items if (c := brute_cover(iw, dw))}
-    assert got == want
-    assert rows(leakage.leaked(leakage.item_hits(ddf, idf))) == sorted(k for k, c in want.items() if c * 3 >= len(dict(items)[k[1]]))
+    hits = leakage.item_hits(ddf, idf, errors=errors)
+    got = {(r.doc_id, r.item_id): r.n_covered for r in hits.collect()}
+    want = {(d, i): c for d, dw in docs for i, iw in items if (c := brute_cover(iw, dw, errors))}
+    assert got == want and len(want) > 20
+    assert rows(leakage.leaked(hits)) == sorted(k for k, c in want.items() if c * 3 >= len(dict(items)[k[1]]))
+    small = leakage.item_hits(ddf, idf, errors=errors, block_chars=200, held_chars=500)  # many blocks, documents held back in many parts
+    assert rows(small) == rows(hits)
     assert leakage.item_hits(ddf, idf.limit(0)).count() == 0
 
 
-def test_shared_instructions_do_not_count():
-    items = [(i, f"Read the passage below and answer it. Item {i} has its own words.") for i in range(4)] + [(9, "One sentence. Two.")]
-    out = dict(leakage.without_instruction(items))
-    assert out[2] == "item 2 has its own words".split() and out[9] == ["one", "sentence", "two"]
+def test_covered():
+    assert leakage.covered({0}) == (8, 8) and leakage.covered({0, 3, 20}) == (19, 11) and leakage.covered({5, 13}) == (16, 16)
+
+
+def test_shared_instructions_do_not_count(spark):
+    items = [(i, f"Read the passage below and answer it. Item {i} has its own words.") for i in range(4)] + [(9, "One sentence. Two."), (10, None)]
+    out = {r.item_id: r.words for r in leakage.item_words(spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    assert out[2] == "item 2 has its own words".split() and out[9] == ["one", "sentence", "two"] and len(out) == 5
 
 
 # --- quality
