@@ -205,11 +205,13 @@ PAIRS = st.lists(st.tuples(st.integers(-50, 50), st.integers(0, 30)).map(lambda
 @settings(max_examples=300, deadline=None)
 @given(PAIRS)
 def test_interval_map(pairs):
-    m, gaps = intervals.IntervalMap(), set()
+    m, gaps, periods = intervals.IntervalMap(), set(), set()
     for s, e in pairs:
-        closed, opened = m.insert(s, e)
-        gaps = (gaps - set(closed)) | set(opened)
-    assert m.periods() == brute(pairs) and sorted(gaps) == m.gaps() == [(a[1], b[0]) for a, b in zip(m.periods(), m.periods()[1:], strict=False)]
+        for change, kind, *span in m.insert(s, e):
+            held = gaps if kind == "gap" else periods
+            assert (tuple(span) in held) == (change < 0)
+            held ^= {tuple(span)}
+    assert m.periods() == brute(pairs) == sorted(periods) and sorted(gaps) == m.gaps() == [(a[1], b[0]) for a, b in zip(m.periods(), m.periods()[1:], strict=False)]
 
 
 @pytest.mark.parametrize("block", [3, 10, 1000])
@@ -231,7 +233,8 @@ def test_speaking_rows(spark):
     assert rows(intervals.speaking_spans(df)) == [(1, "A", "gap", 300, 400), (1, "A", "period", 100, 300), (1, "A", "period", 400, 650)]
 
 
-def test_stream_of_intervals(spark, tmp_path):
+@pytest.mark.parametrize("block", [4, 360_000])
+def test_stream_of_intervals(spark, tmp_path, block):
     from keelstone.streaming.intervals import period_changes, standing
 
     data = [[("a", 0, 5), ("a", 10, 12), ("b", 1, 2)], [("a", 4, 10), ("a", 20, 21)], [("a", 0, 5), ("b", 0, 9), (None, 1, 2)]]
@@ -239,9 +242,9 @@ def test_stream_of_intervals(spark, tmp_path):
         spark.createDataFrame(part, "k string, s bigint, e bigint").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         (tmp_path / f"mark{i}").touch()
     stream = spark.readStream.schema("k string, s bigint, e bigint").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = period_changes(stream, "k", "s", "e").writeStream.format("memory").queryName("spans").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q = period_changes(stream, "k", "s", "e", block).writeStream.format("memory").queryName(f"spans{block}").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination()
-    got = rows(standing(spark.table("spans")), "entity", "span_kind", "span_start", "span_end")
+    got = rows(standing(spark.table(f"spans{block}"), block), "entity", "span_kind", "span_start", "span_end")
     assert got == [("a", "gap", 12, 20), ("a", "period", 0, 12), ("a", "period", 20, 21), ("b", "period", 0, 9)]
 
 
