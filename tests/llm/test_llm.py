@@ -117,9 +117,9 @@ def test_nulls_are_filled_from_below_the_third_layer(spark):
 
 def test_written_forms():
     assert formatting.written(" Ab-ç​_9\t\xad!") == "abç9" and formatting.written("“”") == ""
-    a, b = formatting._ids("url", "HTTP://A.test/x/?b=2&a=1&&"), formatting._ids("url", "http://a.test/x?A=1&b=2")
-    assert a == b and a != formatting._ids("url", "http://a.test/x?a=1&a=1&b=2")
-    assert formatting._ids("exact", "") == () and formatting._ids("written", "--") == ()
+    f = lambda v: sorted(formatting.forms("url", v))
+    assert f("HTTP://A.test/x/?b=2&a=1&&") == f("http://a.test/x?A=1&b=2") == [(0, "httpatestx"), (1, "a1"), (1, "b2")] != f("http://a.test/x?a=1&a=1&b=2")
+    assert formatting.forms("exact", "") == formatting.forms("written", "--") == formatting.forms("url", None) == [] and formatting.forms("bag", None) == [(1, "")]
 
 
 def test_copies(spark):
@@ -127,6 +127,8 @@ def test_copies(spark):
     base = {"name": "My-Site", "login": login("u", "p"), "custom_fields": f(("a", "1"), ("b", "2"))}
     items = table(spark, base, base | {"name": "my site!", "custom_fields": f(("b", "2"), ("a", "1"))}, base | {"custom_fields": f(("a", "1"))}, base | {"login": login("U", "p")}, base | {"login": login("u", " ")}, base | {"notes": ""}, base | {"custom_fields": None}, base | {"custom_fields": []}, base | {"custom_fields": [None]})
     apple = spark.createDataFrame([(1, "T", "http://x?b&a", "u", "p", None, None, "x"), (2, "t.", "HTTP://X?A&&b", " U", "p", "", "", "y"), (3, " ", "", None, "p", None, None, "z"), (4, "", None, "-", "p", None, None, "z"), (5, "T", "http://x?b&a", "u", "q", None, None, "z")], "row_id bigint, title string, url string, username string, password string, notes string, otpauth string, tuple string")
+    for block_rows in (1, 3):  # blocks of any size give the same sets
+        assert rows(formatting.copies(formatting.encoded(items.repartition(3), apple, block_rows))) == [("apple_rows", 1, 2), ("ciphers", 0, 1), ("ciphers", 0, 5), ("ciphers", 6, 7)]
     enc = formatting.encoded(items, apple)
     assert rows(formatting.copies(enc)) == [("apple_rows", 1, 2), ("ciphers", 0, 1), ("ciphers", 0, 5), ("ciphers", 6, 7)]
     assert (("ciphers", 0, 3) in rows(formatting.sets(enc), "src_table", "first_key", "n_copies")) and formatting.sets(enc).count() == 7

@@ -181,9 +181,11 @@ def test_orphans(spark):
 
 def test_filter_never_denies_a_parent(spark):
     keys = spark.range(3000).selectExpr("'f' ref_field", "cast(id as string) ref_key")
-    words = orphans.bloom_words(keys, 1 << 10)
-    probe = keys.withColumn("word", orphans._word(keys.ref_key, 1 << 10)).withColumn("m", orphans._mask("ref_key"))
-    assert probe.join(words, ["ref_field", "word"], "left").where("bits is null or (bits & m) <> m").count() == 0
+    words = {f: 1 << 10 for f in {r.ref_field for r in keys.select("ref_field").distinct().collect()}}
+    probe = keys.withColumns(orphans._numbered(list(words), words, keys.ref_field)).withColumn("m", orphans._mask("ref_key"))
+    probe = probe.withColumn("slot", orphans._slot(probe.ref_key, probe.words))
+    assert [orphans.filter_words(n) for n in (0, 1, 100, 6_000_000, 10**12)] == [1, 1, 16, 1 << 20, 1 << 20]
+    assert probe.join(orphans.bloom_words(keys, words), "slot", "left").where("bits is null or (bits & m) <> m").count() == 0
 
 
 # --- intervals
